@@ -255,9 +255,9 @@ def unit_shifts(
     ranged = rows.repartitionByRange(F.coalesce("source", F.lit("")), "_o").sortWithinPartitions("source", "_o").withColumn("_p", F.spark_partition_id())
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p", "source").orderBy("_o")))
     counts = local.groupBy("_p", "source").agg(F.max("_i").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = local.join(before, (local["_p"] == before["_p"]) & local["source"].eqNullSafe(before["source"])).select(
-        local["source"], "_o", "_k", "_x", F.floor((F.col("_i") + F.col("_before") - 1) / block_rows).alias("_b")
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_bp"), F.col("source").alias("_bs"), "_before")
+    ranked = local.join(before, (F.col("_p") == F.col("_bp")) & F.col("source").eqNullSafe(F.col("_bs"))).select(
+        "source", "_o", "_k", "_x", F.floor((F.col("_i") + F.col("_before") - 1) / block_rows).alias("_b")
     )
 
     def segment(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -34,7 +34,7 @@ WITH p AS (
   WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2)
         + cos(radians(s.lat)) * cos(radians(p.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= 25.0
 ), r AS (
-  SELECT region_id, ring_no, is_hole, list_max(list_transform(ring, v -> v.lon)) - list_min(list_transform(ring, v -> v.lon)) > 180 AS seam, ring
+  SELECT region_id, ring_no, is_hole, list_max([v.lon FOR v IN ring]) - list_min([v.lon FOR v IN ring]) > 180 AS seam, ring
   FROM sea_regions
 ), v AS (
   SELECT region_id, ring_no, is_hole, len(ring) AS n, seam, unnest(generate_series(1, len(ring))) AS i, ring FROM r
