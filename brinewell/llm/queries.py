@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quantiles, tokens
+from . import packing, pieces, quantiles, sentences, tokens
 
 PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 CHUNK_LIMIT, CHUNK_OVERLAP = 1000, 100
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(_table(spark, folder, "documents_json"), "seq_num", "content")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     # texts within the limit are whole pieces already; only the rest needs the splitter
     docs = _table(spark, folder, "documents_json").where(F.length("content") > CHUNK_LIMIT)
@@ -42,6 +46,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p5_percentiles": p5_percentiles,
