@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pairs, pieces, quantiles, sentences, tokens
+from . import nearcopies, packing, pairs, pieces, quantiles, sentences, tokens
 
 PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 CHUNK_LIMIT, CHUNK_OVERLAP = 1000, 100
@@ -41,6 +41,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.broken_pairs(_table(spark, folder, "selfcheck_state")).select("state_id", F.col("query_pos").cast("int").alias("query_pos"), "defect")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = nearcopies.near_copies(_table(spark, folder, "documents_json"), "seq_num", "title", "content", threshold=0.6)
+    return nearcopies.group_pairs(groups, "seq_num", "group_id", "seq_a", "seq_b")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_ids(_table(spark, folder, "documents"))
 
@@ -55,6 +60,7 @@ _QUERIES = {
     "p2_pieces": p2_pieces,
     "p5_percentiles": p5_percentiles,
     "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
