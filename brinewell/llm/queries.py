@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nearcopies, packing, pairs, pieces, quantiles, sentences, tokens
+from . import nearcopies, packing, pairs, pieces, quantiles, residue, sentences, tokens
 
 PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 CHUNK_LIMIT, CHUNK_OVERLAP = 1000, 100
@@ -54,6 +54,10 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), capacity=CAPACITY)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(_table(spark, folder, "documents"))
+
+
 _QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -63,6 +67,7 @@ _QUERIES = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
 }
 
 _ORACLES = {
