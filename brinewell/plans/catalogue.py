@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import places, units
+from . import panel, places, units
 
-_PARTS = [places, units]
-FLAGSHIP = "p3_found"
+_PARTS = [panel, places, units]
+FLAGSHIP = "did_att_2x2"
 
 
 def queries() -> dict:
