@@ -214,35 +214,58 @@ def ols(df: DataFrame, formula: str, *, cluster: str | None = None, small_sample
     return Fit(d.names, beta, np.sqrt(np.where(var >= 0, var, np.nan)), n, resid, rank, identified, d, crit)
 
 
+#: Up to this many different rows of a design, a logistic fit needs one job only.
+MAX_CELLS = 20_000
+
+
 def logit(df: DataFrame, formula: str, *, max_iter: int = 100, tol: float = 1e-10, levels: dict[str, list] | None = None) -> Fit:
-    """Unpenalised logistic regression by iteratively reweighted least squares, one aggregation a step."""
+    """Unpenalised logistic regression by iteratively reweighted least squares.
+
+    Rows are counted by distinct (design, outcome) first. If those are few (a
+    checked bound), the steps run on the counts; otherwise every step is one
+    aggregation over the rows. Steps end when neither the coefficients nor the
+    deviance move, so separated cells, whose coefficients have no limit, end too.
+    """
     d = design(df, formula, levels)
     rows = _usable(df, d, F.col(d.outcome))
     k = len(d.names)
-    beta = np.zeros(k)
-    a, n = np.zeros((k, k)), 0
-    for _ in range(max_iter):
+    xs = [f"_x{i}" for i in range(k)]
+    cells = rows.groupBy(*xs, "_y").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_CELLS + 1).collect()
+    local = len(cells) <= MAX_CELLS
+    if local:
+        x, y, m = np.array([r[:k] for r in cells], float).reshape(-1, k), np.array([r["_y"] for r in cells], float), np.array([r["_n"] for r in cells], float)
+
+    def step(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+        if local:
+            eta = x @ beta
+            p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+            w = m * p * (1 - p)
+            dev = 2 * float((m * (np.logaddexp(0, eta) - y * eta)).sum())
+            return (x * w[:, None]).T @ x, x.T @ (m * (y - p)), dev, int(m.sum())
         eta = F.lit(0.0)
-        for i in range(k):
-            eta = eta + F.lit(float(beta[i])) * F.col(f"_x{i}")
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-        step = rows.withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p"))).withColumn("_g", F.col("_y") - F.col("_p"))
-        x = [F.col(f"_x{i}") for i in range(k)]
-        cells = [F.sum(F.col("_w") * x[i] * x[j]) for i in range(k) for j in range(i, k)] + [F.sum(x[i] * F.col("_g")) for i in range(k)]
-        got = step.agg(F.array(*cells).alias("m"), F.count(F.lit(1)).alias("n")).first()
-        m, n, at = [v or 0.0 for v in got["m"]], int(got["n"]), 0
+        for b, c in zip(beta, xs):
+            eta = eta + F.lit(float(b)) * F.col(c)
+        part = rows.withColumn("_eta", eta).withColumn("_p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_eta")))).withColumn("_w", F.col("_p") * (1 - F.col("_p"))).withColumn("_g", F.col("_y") - F.col("_p"))
+        sums = [F.sum(F.col("_w") * F.col(xs[i]) * F.col(xs[j])) for i in range(k) for j in range(i, k)] + [F.sum(F.col(c) * F.col("_g")) for c in xs]
+        dev = F.sum(F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta"))) - F.col("_y") * F.col("_eta"))
+        got = part.agg(F.array(*sums).alias("m"), dev.alias("dev"), F.count(F.lit(1)).alias("n")).first()
+        v, at, a = [z or 0.0 for z in got["m"]], 0, np.zeros((k, k))
         for i in range(k):
             for j in range(i, k):
-                a[i, j] = a[j, i] = m[at]
+                a[i, j] = a[j, i] = v[at]
                 at += 1
+        return a, np.array(v[at:]), 2 * float(got["dev"] or 0.0), int(got["n"])
+
+    beta, last = np.zeros(k), math.inf
+    for _ in range(max_iter):
+        a, g, dev, n = step(beta)
         inv, ident, rank = _pinv(a)
-        move = inv @ np.array(m[at:])
-        # separated data move for ever: steps are bounded, the number of steps too
-        move = np.clip(move, -5, 5)
+        move = np.clip(inv @ g, -5, 5)
         beta = beta + move
-        if np.abs(move).max(initial=0.0) < tol:
+        if np.abs(move).max(initial=0.0) < tol or abs(last - dev) < tol * (abs(dev) + 0.1):
             break
-    return Fit(d.names, beta, np.sqrt(np.maximum(np.diag(inv), 0)), n, n - k, k, ident, d)
+        last = dev
+    return Fit(d.names, beta, np.sqrt(np.maximum(np.diag(inv), 0)), n, n - rank, rank, ident, d)
 
 
 def probability(fit: Fit) -> Column:

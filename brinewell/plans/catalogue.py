@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import panel, places, units
+from . import panel, places, profiles, propensity, texts, units
 
-_PARTS = [panel, places, units]
+_PARTS = [panel, profiles, propensity, texts, places, units]
 FLAGSHIP = "did_att_2x2"
 
 
