@@ -63,16 +63,16 @@ def _alt(words) -> str:
 
 _NUM = r"\d+(?:,\d{3})*(?:\.\d+)?"
 _DENOM = _alt({**VOLUMES, **AREAS, **MASSES})
-#: Groups: 1 power of ten, 2 scale word, 3 thing, 4 amount, 5 denominator | 6 amount, 7 denominator of the "-1" form.
+#: A particle of another script may follow a unit directly. Groups: 1 power of ten, 2 scale word, 3 thing, 4 amount, 5 denominator | 6 amount, 7 denominator of the "-1" form.
 UNIT = (
     rf"(?<![\p{{L}}\p{{N}}^.])(?:x?\s*(10\s*\^\s*\d+|1,?000(?:,?000)?)\s*x?\s*|({_alt(SCALES)})\s*)?"
     rf"((?:{_alt(COUNTED)}|{_alt(WEIGHED)}))"
-    rf"(?:\s*/\s*|\s+per\s+)({_NUM}\s*|(?:{_alt(NUMBER_WORDS)})\s+)?({_DENOM})(?![\p{{L}}\p{{N}}])"
+    rf"(?:\s*/\s*|\s+per\s+)({_NUM}\s*|(?:{_alt(NUMBER_WORDS)})\s+)?({_DENOM})(?![\p{{IsLatin}}\p{{N}}])"
 )
 UNIT_INVERSE = (
     rf"(?<![\p{{L}}\p{{N}}^.])(?:x?\s*(10\s*\^\s*\d+|1,?000(?:,?000)?)\s*x?\s*|({_alt(SCALES)})\s*)?"
     rf"((?:{_alt(COUNTED)}|{_alt(WEIGHED)}))"
-    rf"\s+\(?({_NUM}\s*)?((?:{_DENOM}|km|cm|dm|ft|nmi|mi|m))\)?\s*-([123])(?![\p{{L}}\p{{N}}])"
+    rf"\s+\(?({_NUM}\s*)?((?:{_DENOM}|km|cm|dm|ft|nmi|mi|m))\)?\s*-([123])(?![\p{{IsLatin}}\p{{N}}])"
 )
 
 
@@ -149,6 +149,7 @@ def to_common_units(
     ``unit`` before the source's note, which serves only rows whose ``unit`` is
     null.  Rows without a known unit keep null quantity and value.  ``notes``
     must have one row per source (others are reduced to the lowest note).
+    Columns of the input that are named like the added ones are replaced.
     """
     common = bounded_rows(quantities.select("quantity", "common_unit"), max_quantities, "quantities")
     spark = observations.sparkSession
@@ -164,8 +165,11 @@ def to_common_units(
         .select("_source", stated_unit(F.col("_note")).alias("_nu"))
         .where("_nu is not null")
     )
-    own = observations.withColumn("_ru", F.when(F.col("remarks").isNotNull(), stated_unit(F.col("remarks")))).withColumn("_uu", stated_unit(F.col("unit")))
-    out = own.join(per_source, own[source] == per_source["_source"], "left")
+    # the row travels as one struct, so its column names cannot clash with ours
+    taken = {"unit_from", "quantity", "common_unit", "common_value"}
+    packed = observations.select(F.struct("*").alias("_row"), F.col(source).alias("_own"), "remarks", "unit", "measurement")
+    own = packed.withColumn("_ru", F.when(F.col("remarks").isNotNull(), stated_unit(F.col("remarks")))).withColumn("_uu", stated_unit(F.col("unit")))
+    out = own.join(per_source, F.col("_own") == F.col("_source"), "left")
     unit = F.coalesce(F.col("_ru"), F.col("_uu"), F.when(F.col("unit").isNull(), F.col("_nu")))
     kind = F.when(F.col("_ru").isNotNull(), "remarks").when(F.col("_uu").isNotNull(), "unit").when(F.col("unit").isNull() & F.col("_nu").isNotNull(), "note")
     out = out.withColumn("_u", unit).withColumn("unit_from", kind)
@@ -173,7 +177,7 @@ def to_common_units(
     goal = F.try_element_at(table, F.col("_u.family")) if table is not None else F.lit(None).cast("struct<unit:string,factor:double>")
     out = out.withColumn("_g", goal)
     return out.select(
-        *observations.columns,
+        *[F.col("_row").getField(c).alias(c) for c in observations.columns if c not in taken],
         F.when(F.col("_g").isNotNull(), F.col("unit_from")).alias("unit_from"),
         F.when(F.col("_g").isNotNull(), F.col("_u.family")).alias("quantity"),
         F.col("_g.unit").alias("common_unit"),
