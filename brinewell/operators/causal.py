@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import indicator, midpoint_year
+from ..runtime import spill_table
 
 
 def finite(df: DataFrame, value: str) -> DataFrame:
@@ -52,12 +53,13 @@ def cell_means(df: DataFrame, outcome: str, year: str = "year") -> DataFrame:
 
 
 def att_2x2(df: DataFrame, outcome: str) -> DataFrame:
-    """One row: cell means, the counterfactual of the treated, the effect, and its mirror image."""
+    """One row: cell means, the counterfactual of the treated, the effect, and the mirrored check
+    (the control arm before, less what the treated arm's growth would have made of it)."""
     m = lambda t, p: F.avg(F.when((F.col("treated") == t) & (F.col("post") == p), F.col(outcome)))
     cells = df.agg(m(0, 0).alias("y00"), m(0, 1).alias("y01"), m(1, 0).alias("y10"), m(1, 1).alias("y11"))
     y0 = F.col("y10") + (F.col("y01") - F.col("y00"))
-    y1 = F.col("y01") + (F.col("y11") - F.col("y10"))
-    return cells.withColumns({"counterfactual": y0, "att": F.col("y11") - y0, "mirrored_counterfactual": y1, "mirrored_att": y1 - F.col("y01")})
+    y1 = F.col("y00") + (F.col("y11") - F.col("y10"))
+    return cells.withColumns({"counterfactual": y0, "att": F.col("y11") - y0, "mirrored_counterfactual": y1, "mirrored_att": F.col("y00") - y1})
 
 
 def outcome_growth(df: DataFrame, unit: str, outcome: str) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +149,8 @@ def nearest_match(df: DataFrame, row_id: str, outcome: str, t: str, ps: str, pla
     rows = df.withColumn("_p", key)
     arm = rows.where(F.col("_p").isNotNull() & F.col(t).isNotNull()).groupBy("_p", F.col(t).alias("_t")).agg(F.min_by(outcome, row_id).alias("_y"))
     cells = arm.groupBy("_p").agg(F.max(F.when(F.col("_t") == 1, F.struct("_p", "_y"))).alias("m1"), F.max(F.when(F.col("_t") == 0, F.struct("_p", "_y"))).alias("m0"))
-    part = cells.repartitionByRange("_p").withColumn("_part", F.spark_partition_id())
+    # written once: both uses below must see the same partitions
+    part = spill_table(cells.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()), "scores")
     up = Window.partitionBy("_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("_part").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
     near = part
@@ -162,7 +165,7 @@ def nearest_match(df: DataFrame, row_id: str, outcome: str, t: str, ps: str, pla
 
     def pick(m: str) -> Column:
         lo, hi = F.coalesce(f"{m}_lo", f"{m}_below"), F.coalesce(f"{m}_hi", f"{m}_above")
-        below, above = F.col("_p") - lo["_p"], hi["_p"] - F.col("_p")
+        below, above = F.round(F.col("_p") - lo["_p"], places), F.round(hi["_p"] - F.col("_p"), places)
         return F.when(lo.isNull(), hi["_y"]).when(hi.isNull(), lo["_y"]).when(below <= above, lo["_y"]).otherwise(hi["_y"])
 
     table = full.select(F.col("_p").alias("_q"), pick("m1").alias("_treated"), pick("m0").alias("_control"))

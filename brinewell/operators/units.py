@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_rows
+from ..runtime import bounded_rows, spill_table
 
 # Spellings. Texts are compared in lower case after SIGNS.
 SIGNS = {
@@ -256,7 +256,8 @@ def unit_shifts(
         F.col(source).cast("string").alias("source"), F.struct(*[F.col(c) for c in order], F.col(key)).alias("_o"), F.col(key).cast("long").alias("_k"), F.ln(value).alias("_x")
     )
     # Rank within a source without one task per source: partition id of a range sort, counts per (partition, source), then offsets.
-    ranged = rows.repartitionByRange(F.coalesce("source", F.lit("")), "_o").sortWithinPartitions("source", "_o").withColumn("_p", F.spark_partition_id())
+    # Written once, since the ranks below read it twice and must see the same partitions.
+    ranged = spill_table(rows.repartitionByRange(F.coalesce("source", F.lit("")), "_o").withColumn("_p", F.spark_partition_id()), "history")
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p", "source").orderBy("_o")))
     counts = local.groupBy("_p", "source").agg(F.max("_i").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_bp"), F.col("source").alias("_bs"), "_before")

@@ -215,7 +215,7 @@ _GROWTH = """per AS (
 
 ORACLES = {
     "did_cell_means": PANEL + "SELECT treated, post, round(avg(log_m), 6) AS outcome_mean, min(year) AS first_year, count(*) AS n FROM panel GROUP BY treated, post",
-    "did_att_2x2": PANEL + f", w AS ({_WIDE}) SELECT round(y00, 6) AS y00, round(y01, 6) AS y01, round(y10, 6) AS y10, round(y11, 6) AS y11, round(y10 + (y01 - y00), 6) AS counterfactual, round(y11 - (y10 + (y01 - y00)), 6) AS att, round(y01 + (y11 - y10), 6) AS mirrored_counterfactual, round(y01 + (y11 - y10) - y01, 6) AS mirrored_att FROM w",
+    "did_att_2x2": PANEL + f", w AS ({_WIDE}) SELECT round(y00, 6) AS y00, round(y01, 6) AS y01, round(y10, 6) AS y10, round(y11, 6) AS y11, round(y10 + (y01 - y00), 6) AS counterfactual, round(y11 - (y10 + (y01 - y00)), 6) AS att, round(y00 + (y11 - y10), 6) AS mirrored_counterfactual, round(y00 - (y00 + (y11 - y10)), 6) AS mirrored_att FROM w",
     "did_outcome_growth": PANEL + f", {_GROWTH} SELECT regions, round(before, 6) AS before, round(after, 6) AS after, treated, round(growth, 6) AS growth FROM paired",
     "did_growth_effect": PANEL + f", {_GROWTH}, a AS (SELECT avg(growth) FILTER (treated = 1) AS t, avg(growth) FILTER (treated = 0) AS c FROM paired) SELECT round(t, 6) AS treated_growth, round(c, 6) AS control_growth, round(t - c, 6) AS att, round(c - t, 6) AS reversed FROM a",
     "did_dataset_blocks": PANEL + "SELECT obs_id, CASE WHEN treated = 1 THEN 'treated' ELSE 'control' END || '_' || CASE WHEN post = 1 THEN 'post' ELSE 'pre' END AS dataset, round(log_m, 6) AS value FROM panel",

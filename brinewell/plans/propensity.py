@@ -136,7 +136,7 @@ ORACLES = {
     "match_1nn_ate": EFFECTS + """, r AS (SELECT *, round(ps, 12) AS p FROM effects), arm AS (SELECT p, t, arg_min(y, obs_id) AS y FROM r GROUP BY p, t),
 lo AS (SELECT q.p, q.t, a.p AS ap, a.y FROM (SELECT DISTINCT p, t FROM r) q ASOF LEFT JOIN (SELECT p, 1 - t AS ot, y FROM arm) a ON q.t = a.ot AND q.p >= a.p),
 hi AS (SELECT q.p, q.t, a.p AS ap, a.y FROM (SELECT DISTINCT p, t FROM r) q ASOF LEFT JOIN (SELECT p, 1 - t AS ot, y FROM arm) a ON q.t = a.ot AND q.p <= a.p),
-m AS (SELECT lo.p, lo.t, CASE WHEN lo.ap IS NULL THEN hi.y WHEN hi.ap IS NULL THEN lo.y WHEN lo.p - lo.ap <= hi.ap - lo.p THEN lo.y ELSE hi.y END AS match FROM lo JOIN hi ON lo.p = hi.p AND lo.t = hi.t)
+m AS (SELECT lo.p, lo.t, CASE WHEN lo.ap IS NULL THEN hi.y WHEN hi.ap IS NULL THEN lo.y WHEN round(lo.p - lo.ap, 12) <= round(hi.ap - lo.p, 12) THEN lo.y ELSE hi.y END AS match FROM lo JOIN hi ON lo.p = hi.p AND lo.t = hi.t)
 SELECT round(avg((y - match) * r.t + (match - y) * (1 - r.t)), 6) AS ate, count(match) AS n FROM r LEFT JOIN m ON r.p = m.p AND r.t = m.t""",
     "dr_ate": EFFECTS + """, mu AS (SELECT density, target_region, coalesce(avg(y) FILTER (t = 1), 0) AS mu1, coalesce(avg(y) FILTER (t = 0), 0) AS mu0 FROM effects GROUP BY ALL),
 r AS (SELECT avg(CASE WHEN ps > 0 THEN t * (y - mu1) / ps + mu1 END) AS y1, avg(CASE WHEN ps < 1 THEN (1 - t) * (y - mu0) / (1 - ps) + mu0 END) AS y0 FROM effects JOIN mu USING (density, target_region))
