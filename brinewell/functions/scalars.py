@@ -12,9 +12,22 @@ NAN = float("nan")
 DATE_FORMATS = ("M/d/yyyy h:mm:ss a", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "dd.MM.yyyy")
 
 
+def _shape(fmt: str) -> str:
+    """Pattern of the texts that a format can read: cheap to test, where a failed parse is not."""
+    import re
+
+    def part(m: "re.Match[str]") -> str:
+        run = m.group(0)
+        if run[0] == "a":
+            return "[AaPp][Mm]"
+        return r"\d{1,2}" if len(run) == 1 else rf"\d{{{len(run)}}}"
+
+    return "^" + re.sub(r"([A-Za-z])\1*|[^A-Za-z]", lambda m: part(m) if m.group(1) else re.escape(m.group(0)), fmt) + "$"
+
+
 def parse_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """Timestamp by the first format that fits; null where none does."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats])
 
 
 def safe_ln(c: Column) -> Column:

@@ -188,15 +188,29 @@ def doubly_robust(df: DataFrame, outcome: str, t: str, ps: Column, mu1: Column,
 # -- resampling -----------------------------------------------------------------------------------
 
 
-def poisson_weight(row_id: Column, round_no: Column, seed: int) -> Column:
-    """Poisson(1) draw that depends on the row, the round and the seed only: repeatable however rows are partitioned."""
-    u = F.pmod(F.xxhash64(F.lit(seed), round_no, row_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    steps, p, total = [], 0.36787944117144233, 0.0
+def uniform_draw(row_id: Column, round_no: Column, seed: int) -> Column:
+    """A number in [0, 1) that depends on the row, the round and the seed only: repeatable however rows are partitioned."""
+    return F.pmod(F.xxhash64(F.lit(seed), round_no, row_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def poisson_of(u: Column) -> Column:
+    """Poisson(1) count of a uniform draw, as one CASE expression."""
+    p, total, out = 0.36787944117144233, 0.0, None
     for k in range(12):
         total += p
-        steps.append(total)
+        out = F.when(u < total, F.lit(k)) if out is None else out.when(u < total, F.lit(k))
         p /= k + 1
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, s: acc + F.when(u >= s, 1).otherwise(0))
+    return out.otherwise(F.lit(12))
+
+
+def poisson_weight(row_id: Column, round_no: Column, seed: int) -> Column:
+    return poisson_of(uniform_draw(row_id, round_no, seed))
+
+
+def _drawn(df: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
+    """Each row in every round that draws it, with ``_w`` times; rows drawn 0 times are dropped by their draw alone."""
+    r = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_u", uniform_draw(F.col(key), F.col("round"), seed))
+    return r.where(F.col("_u") >= 0.36787944117144233).withColumn("_w", poisson_of(F.col("_u"))).drop("_u")
 
 
 def bootstrap_rows(df: DataFrame, row_id: str, stats: Callable[[Column], dict[str, Column]], *, rounds: int = 200, seed: int = 123) -> DataFrame:
@@ -205,7 +219,7 @@ def bootstrap_rows(df: DataFrame, row_id: str, stats: Callable[[Column], dict[st
     ``stats(w)`` gives aggregates of weighted rows; each row is expanded into its
     rounds inside the map side, where partial aggregation leaves ``rounds`` rows a task.
     """
-    r = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", poisson_weight(F.col(row_id), F.col("round"), seed)).where("_w > 0")
+    r = _drawn(df, row_id, rounds, seed)
     return r.groupBy("round").agg(*[c.alias(n) for n, c in stats(F.col("_w")).items()])
 
 
@@ -215,7 +229,7 @@ def bootstrap_blocks(units: DataFrame, unit: str, stats: Callable[[Column], dict
     ``units`` has one row per unit, so a draw of a unit stands for all its rows. Rounds that
     hold fewer than ``min_units`` different units are marked as not identified.
     """
-    r = units.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", poisson_weight(F.col(unit), F.col("round"), seed)).where("_w > 0")
+    r = _drawn(units, unit, rounds, seed)
     return r.groupBy("round").agg(F.count(F.lit(1)).alias("n_units"), (F.count(F.lit(1)) >= min_units).alias("identified"), *[c.alias(n) for n, c in stats(F.col("_w")).items()])
 
 
