@@ -29,7 +29,7 @@ WITH raw AS (
 GRID = "[" + ", ".join(str(i / 200) for i in range(200)) + "]"
 PANEL = (
     PREP
-    + f""", grid AS (SELECT unnest({GRID}) AS q, unnest(quantile_cont(log_m, {GRID})) AS v FROM obs WHERE NOT isnan(log_m)),
+    + f""", grid AS (SELECT unnest({GRID}::DOUBLE[]) AS q, unnest(quantile_cont(log_m, {GRID})) AS v FROM obs WHERE NOT isnan(log_m)),
 bounds AS (
   SELECT arg_min(v, q) FILTER (v > -7.5) AS low_value, min(q) FILTER (v > -7.5) AS low_q, arg_max(v, q) FILTER (v < 0.0) AS high_value, max(q) FILTER (v < 0.0) AS high_q FROM grid
 ), trimmed AS (
