@@ -24,7 +24,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,18 +60,57 @@ def _cells(level: int, row: int, prefix: np.ndarray) -> tuple[np.ndarray, np.nda
     return (h & np.uint64(WIDTH - 1)).astype(np.int64), 1 - 2 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
 
 
+#: Up to this many distinct keys a sketch is the exact list of its keys and weights.
+SPARSE_KEYS = 2048
+
+
+def _condense(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their summed weights, zeros left out."""
+    keys, at = np.unique(keys, return_inverse=True)
+    w = np.bincount(at, weights=weights, minlength=len(keys)).astype(np.int64)
+    return keys[w != 0], w[w != 0]
+
+
 class Sketch:
-    """Counters of one group: level -> exact array, or depth x width signed table."""
+    """Counters of one group: level -> exact array, or depth x width signed table.
+
+    A small group is kept as its distinct keys instead (``tables`` is None), which
+    is exact and short; both forms merge by addition.
+    """
 
     def __init__(self, total: int = 0, tables: dict[int, np.ndarray] | None = None):
         self.total = total
-        self.tables = tables or {j: np.zeros(1 << j if j <= _EXACT else (DEPTH, WIDTH), np.int64) for j in range(1, BITS + 1)}
+        self.tables = tables
+        self._keys: list[np.ndarray] = []
+        self._weights: list[np.ndarray] = []
+        self._held = 0
 
     def add(self, values: np.ndarray, weights: np.ndarray | None = None) -> "Sketch":
-        keys, w = encode_values(values), np.ones(len(values), np.int64) if weights is None else np.asarray(weights, np.int64)
+        w = np.ones(len(values), np.int64) if weights is None else np.asarray(weights, np.int64)
+        return self.add_keys(encode_values(values), w)
+
+    def add_keys(self, keys: np.ndarray, w: np.ndarray) -> "Sketch":
         self.total += int(w.sum())
-        keys, inverse = np.unique(keys, return_inverse=True)
-        w = np.bincount(inverse, weights=w, minlength=len(keys)).astype(np.int64)
+        self._keys.append(keys)
+        self._weights.append(w)
+        self._held += len(keys)
+        if self._held >= 200_000:
+            self._settle()
+        return self
+
+    def _settle(self) -> None:
+        """Waiting keys into the tables; while they are few they stay a list."""
+        if not self._held:
+            return
+        if len(self._keys) == 1 and self.tables is None and self._held <= SPARSE_KEYS and (np.diff(self._keys[0].astype(np.int64)) > 0).all():
+            return
+        keys, w = _condense(np.concatenate(self._keys), np.concatenate(self._weights))
+        if self.tables is None and len(keys) <= SPARSE_KEYS:
+            self._keys, self._weights, self._held = [keys], [w], len(keys)
+            return
+        if self.tables is None:
+            self.tables = {j: np.zeros(1 << j if j <= _EXACT else (DEPTH, WIDTH), np.int64) for j in range(1, BITS + 1)}
+        self._keys, self._weights, self._held = [], [], 0
         for j in range(BITS, 0, -1):
             # one row per distinct prefix: a level costs no more than its own prefixes
             table = self.tables[j]
@@ -87,15 +125,18 @@ class Sketch:
             if len(new) < len(keys):
                 w = np.add.reduceat(w, new)
                 keys = keys[new]
-        return self
 
     def merge(self, other: "Sketch") -> "Sketch":
-        self.total += other.total
-        for j, t in other.tables.items():
-            self.tables[j] = self.tables[j] + t
+        for k, w in zip(other._keys, other._weights):
+            self.add_keys(k, w)
+        if other.tables is not None:
+            self._settle()
+            self.total += other.total - sum(int(w.sum()) for w in other._weights)
+            self.tables = {j: t.copy() for j, t in other.tables.items()} if self.tables is None else {j: t + other.tables[j] for j, t in self.tables.items()}
         return self
 
     def count(self, level: int, prefix: int) -> int:
+        self._settle()
         t = self.tables[level]
         if level <= _EXACT:
             return int(t[prefix])
@@ -105,6 +146,11 @@ class Sketch:
 
     def quantile(self, q: float) -> float:
         """Value at rank ``q * (n - 1)`` counted from 0."""
+        self._settle()
+        if self.tables is None:
+            below = np.cumsum(self._weights[0])
+            at = int(np.searchsorted(below, int(q * (self.total - 1)), "right"))
+            return float(decode_keys(self._keys[0][[min(at, len(below) - 1)]])[0])
         rank, prefix, mass = q * (self.total - 1), 0, self.total
         for j in range(1, BITS + 1):
             left = min(max(self.count(j, 2 * prefix), 0), mass)
@@ -118,12 +164,22 @@ class Sketch:
         return float(decode_keys(np.array([prefix], np.uint32))[0])
 
     def to_bytes(self) -> bytes:
+        """Kind, then the keys and weights of a short list, or the compressed tables."""
+        self._settle()
+        if self.tables is None:
+            return sparse_bytes(self._keys[0], self._weights[0]) if self._keys else b"\x01"
         flat = np.concatenate([self.tables[j].ravel() for j in range(1, BITS + 1)])
         narrow = flat.astype(np.int32) if np.abs(flat).max(initial=0) < 2**31 else flat
         return bytes([narrow.itemsize]) + zlib.compress(narrow.tobytes(), 1)
 
     @staticmethod
     def from_bytes(data: bytes, total: int) -> "Sketch":
+        if data[0] == 1:
+            rec = np.frombuffer(data[1:], _RECORD)
+            out = Sketch(total)
+            if len(rec):
+                out._keys, out._weights, out._held = [rec["k"].astype(np.uint32)], [rec["w"].astype(np.int64)], len(rec)
+            return out
         flat = np.frombuffer(zlib.decompress(data[1:]), np.int32 if data[0] == 4 else np.int64).astype(np.int64)
         tables, at = {}, 0
         for j in range(1, BITS + 1):
@@ -134,14 +190,24 @@ class Sketch:
         return Sketch(total, tables)
 
 
-#: Groups whose counters a task holds at once (about 1 MB each); beyond it they are sent on and begun anew.
-GROUPS_IN_MEMORY = 256
+_RECORD = np.dtype([("k", "<u4"), ("w", "<i8")])
+
+
+def sparse_bytes(keys: np.ndarray, weights: np.ndarray) -> bytes:
+    rec = np.empty(len(keys), _RECORD)
+    rec["k"], rec["w"] = keys, weights
+    return b"\x01" + rec.tobytes()
+
+
+#: Rows gathered before they are sorted into their groups.
+ROWS_IN_MEMORY = 1_000_000
 
 
 def build_sketches(df: DataFrame, groups: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Partial sketches (groups..., n, sketch binary), one or more per group and partition.
 
-    ``weight`` +1 adds a value, -1 takes one away. Rows are read once, nothing is shuffled.
+    ``weight`` +1 adds a value, -1 takes one away. Rows are read once, nothing is shuffled;
+    a task sorts a bounded number of rows at a time into their groups.
     """
     kinds = dict(df.dtypes)
     picked = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
@@ -149,85 +215,132 @@ def build_sketches(df: DataFrame, groups: list[str], value: str, weight: str | N
     )
 
     def run(batches):
-        held: dict[tuple, Sketch] = {}
-        waiting: dict[tuple, list] = {}
-
-        def settle(key):
-            parts = waiting.pop(key)
-            held.setdefault(key, Sketch()).add(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
+        held, rows = [], 0
         for batch in batches:
-            pdf = batch.to_pandas()
-            for key, part in pdf.groupby(groups, dropna=False, sort=False):
-                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                waiting.setdefault(key, []).append((part["_v"].to_numpy(), part["_w"].to_numpy()))
-                # big additions cost far less than many small ones
-                if sum(len(p[0]) for p in waiting[key]) >= 200_000:
-                    settle(key)
-            if len(waiting) + len(held) > GROUPS_IN_MEMORY:
-                for key in list(waiting):
-                    settle(key)
-                yield from _rows(held, batch.schema, groups)
-                held = {}
-        for key in list(waiting):
-            settle(key)
-        if held:
-            yield from _rows(held, batch.schema, groups)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS_IN_MEMORY:
+                yield from _by_group(held, groups)
+                held, rows = [], 0
+        if rows:
+            yield from _by_group(held, groups)
 
     ddl = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
     return picked.mapInArrow(run, f"{ddl}, n long, sketch binary")
 
 
-def _rows(held: dict, schema: pa.Schema, groups: list[str]):
-    for key, s in held.items():
-        cols = [pa.array([k], schema.field(g).type) for k, g in zip(key, groups)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([s.total], pa.int64()), pa.array([s.to_bytes()], pa.binary())], names=[*groups, "n", "sketch"])
+def _by_group(batches: list, groups: list[str]):
+    t = pa.Table.from_batches(batches)
+    code = np.zeros(t.num_rows, np.int64)
+    for g in groups:
+        d = t.column(g).combine_chunks().dictionary_encode()
+        part = d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        # codes stay small, so that groups of many columns cannot overflow
+        code = np.unique(code * (len(d.dictionary) + 1) + part, return_inverse=True)[1]
+    keys = encode_values(t.column("_v").to_numpy())
+    order = np.lexsort((keys, code))
+    code, keys, w = code[order], keys[order], t.column("_w").to_numpy()[order]
+    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (keys[1:] != keys[:-1])]))
+    w, code, keys, row = np.add.reduceat(w, new), code[new], keys[new], order[new]
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    stop = np.append(start[1:], len(code))
+    sketches = [sparse_bytes(keys[a:b], w[a:b]) if b - a <= SPARSE_KEYS else Sketch().add_keys(keys[a:b], w[a:b]).to_bytes() for a, b in zip(start.tolist(), stop.tolist())]
+    at = pa.array(row[start])
+    cols = [t.column(g).take(at).combine_chunks() for g in groups]
+    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.add.reduceat(w, start), pa.int64()), pa.array(sketches, pa.binary())], names=[*groups, "n", "sketch"])
 
 
 def merge_sketches(sketches: DataFrame, groups: list[str], fan: int = 16) -> DataFrame:
     """One sketch per group, by addition in two rounds: ``fan`` salted parts, then those parts.
 
-    Sketches stream through a task, which holds one running sum per group.
+    Sketches stream through a task, which holds one running sum per group; short
+    lists are summed together, all groups at once.
     """
     kinds = dict(sketches.dtypes)
     ddl = ", ".join(f"`{g}` {kinds[g]}" for g in groups) + ", n long, sketch binary"
 
     def run(batches):
-        held: dict[tuple, Sketch] = {}
-        schema = None
+        schema, number, dense = None, {}, {}
+        codes, recs, held = [], [], 0
+
+        def condense():
+            code, rec = np.concatenate(codes), np.concatenate(recs)
+            order = np.lexsort((rec["k"], code))
+            code, rec = code[order], rec[order]
+            new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (rec["k"][1:] != rec["k"][:-1])]))
+            w = np.add.reduceat(rec["w"], new)
+            code, rec = code[new], rec[new]
+            rec["w"] = w
+            keep = w != 0
+            return code[keep], rec[keep]
+
         for batch in batches:
             schema = batch.schema
             keys = list(zip(*(batch.column(g).to_pylist() for g in groups)))
-            for key, n, data in zip(keys, batch.column("n").to_pylist(), batch.column("sketch").to_pylist()):
-                s = Sketch.from_bytes(data, n)
-                held[key] = held[key].merge(s) if key in held else s
-        if held:
-            yield from _rows(held, schema, groups)
+            datas = batch.column("sketch").to_pylist()
+            at = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, len(keys))
+            for i, (n, data) in enumerate(zip(batch.column("n").to_pylist(), datas)):
+                if data[0] != 1:
+                    s = Sketch.from_bytes(data, n)
+                    dense[at[i]] = dense[at[i]].merge(s) if at[i] in dense else s
+            short = [i for i, data in enumerate(datas) if data[0] == 1]
+            rec = np.frombuffer(b"".join(datas[i][1:] for i in short), _RECORD)
+            codes.append(np.repeat(at[short], [(len(datas[i]) - 1) // _RECORD.itemsize for i in short]) if short else np.zeros(0, np.int64))
+            recs.append(rec)
+            held += len(rec)
+            if held >= 4 * ROWS_IN_MEMORY:
+                code, rec = condense()
+                codes, recs, held = [code], [rec], 0
+        if schema is None or not number:
+            return
+        code, rec = condense() if sum(map(len, recs)) else (np.zeros(0, np.int64), np.zeros(0, _RECORD))
+        ends = np.searchsorted(code, np.arange(len(number) + 1))
+        names, out_n, out_s = [], [], []
+        for key, i in number.items():
+            part = rec[ends[i] : ends[i + 1]]
+            if i in dense or len(part) > SPARSE_KEYS:
+                s = dense.get(i, Sketch()).add_keys(part["k"].astype(np.uint32), part["w"].astype(np.int64))
+                out_n.append(s.total)
+                out_s.append(s.to_bytes())
+            else:
+                out_n.append(int(part["w"].sum()))
+                out_s.append(b"\x01" + part.tobytes())
+            names.append(key)
+        for k in range(0, len(names), 4096):
+            cols = [pa.array([key[i] for key in names[k : k + 4096]], schema.field(g).type) for i, g in enumerate(groups)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out_n[k : k + 4096], pa.int64()), pa.array(out_s[k : k + 4096], pa.binary())], names=[*groups, "n", "sketch"])
 
     columns = [*groups, "n", "sketch"]
+    # a stated number keeps small sketches, whose cost is CPU rather than bytes, spread over the tasks
+    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = sketches.select(*columns).withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(fan)))
-    first = salted.repartition(*groups, "_salt").drop("_salt").mapInArrow(run, ddl)
-    return first.repartition(*groups).mapInArrow(run, ddl)
+    first = salted.repartition(parts, *groups, "_salt").drop("_salt").mapInArrow(run, ddl)
+    return first.repartition(parts, *groups).mapInArrow(run, ddl)
 
 
 def sketch_quantiles(sketches: DataFrame, groups: list[str], points: list[float]) -> DataFrame:
     """(groups..., n, q, value) for every point of every merged sketch."""
     kinds = dict(sketches.dtypes)
+    qs = np.asarray(points, float)
 
     def run(batches):
         for batch in batches:
-            take, ns, qs, vs = [], [], [], []
-            for i, (n, data) in enumerate(zip(batch.column("n").to_pylist(), batch.column("sketch").to_pylist())):
+            take, values = [], []
+            ns = batch.column("n").to_pylist()
+            for i, (n, data) in enumerate(zip(ns, batch.column("sketch").to_pylist())):
                 if n <= 0:
                     continue
-                s = Sketch.from_bytes(data, n)
-                for q in points:
-                    take.append(i)
-                    ns.append(n)
-                    qs.append(q)
-                    vs.append(s.quantile(q))
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(g).take(at) for g in groups), pa.array(ns, pa.int64()), pa.array(qs, pa.float64()), pa.array(vs, pa.float64())], names=[*groups, "n", "q", "value"])
+                take.append(i)
+                if data[0] == 1:
+                    rec = np.frombuffer(data[1:], _RECORD)
+                    at = np.searchsorted(np.cumsum(rec["w"]), (qs * (n - 1)).astype(np.int64), "right")
+                    values.append(rec["k"][np.minimum(at, len(rec) - 1)])
+                else:
+                    s = Sketch.from_bytes(data, n)
+                    values.append(encode_values(np.array([s.quantile(q) for q in points])))
+            at = pa.array(np.repeat(np.asarray(take, np.int64), len(qs)))
+            v = decode_keys(np.concatenate(values)) if values else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(g).take(at) for g in groups), batch.column("n").take(at), pa.array(np.tile(qs, len(take))), pa.array(v)], names=[*groups, "n", "q", "value"])
 
     ddl = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
     return sketches.select(*groups, "n", "sketch").mapInArrow(run, f"{ddl}, n long, q double, value double")

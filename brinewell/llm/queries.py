@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinewell.runtime import spill_table
+
 from . import nearcopies, packing, pairs, pieces, quantiles, residue, sentences, tokens
 
 PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -33,8 +35,15 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    parts = quantiles.build_sketches(_table(spark, folder, "observations"), ["oceans"], "measurement")
-    return quantiles.sketch_quantiles(quantiles.merge_sketches(parts, ["oceans"]), ["oceans"], PERCENTILES)
+    """Percentiles of every day of loading, and of all days (``loaded_on`` null), per ocean.
+
+    The days' sketches are built once; the whole is their sum, no reading is read again.
+    """
+    readings = _table(spark, folder, "observations").select("oceans", F.coalesce(F.to_date("loaded_at"), F.lit("0001-01-01").cast("date")).alias("loaded_on"), "measurement")
+    days = spill_table(quantiles.merge_sketches(quantiles.build_sketches(readings, ["oceans", "loaded_on"], "measurement"), ["oceans", "loaded_on"]), "days")
+    whole = quantiles.merge_sketches(days.select("oceans", "n", "sketch"), ["oceans"])
+    total = quantiles.sketch_quantiles(whole, ["oceans"], PERCENTILES).select("oceans", F.lit(None).cast("date").alias("loaded_on"), "n", "q", "value")
+    return quantiles.sketch_quantiles(days, ["oceans", "loaded_on"], PERCENTILES).unionByName(total)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -113,6 +113,7 @@ def test_sketch_error_merge_and_deletion():
         assert whole.quantile(q) == halves.quantile(q)
     extra = r.normal(50, 1, 30_000)
     back = quantiles.Sketch().add(x).add(extra).add(extra, -np.ones(len(extra)))
+    assert back.to_bytes() == whole.to_bytes()
     assert back.total == whole.total and all((back.tables[j] == whole.tables[j]).all() for j in back.tables)
     again = quantiles.Sketch.from_bytes(whole.to_bytes(), whole.total)
     assert all((again.tables[j] == whole.tables[j]).all() for j in again.tables)
@@ -132,6 +133,12 @@ def test_group_quantiles(spark):
     by = {(r["g"], r["q"]): (r["n"], r["value"]) for r in got}
     assert set(g for g, _ in by) == {"a", None} and by[(None, 0.5)] == (2, 1.0)
     assert by[("a", 0.0)][1] == 0.0 and abs(by[("a", 1.0)][1] - 999.0) < 6 and abs(by[("a", 0.5)][1] - 499.5) < 6
+    # large groups, from parts of both forms, with deletions
+    r = np.random.default_rng(2)
+    big = spark.createDataFrame([("L", float(x), 1) for x in r.normal(0, 100, 30_000)] + [("L", 7.0, s) for s in (1, -1)] + [("S", 7.0, 1), ("S", 8.0, 1), ("S", 8.0, -1)], "g string, v double, w int").repartition(7)
+    merged = quantiles.merge_sketches(quantiles.build_sketches(big, ["g"], "v", "w"), ["g"])
+    got = {(x["g"], x["q"]): (x["n"], x["value"]) for x in quantiles.sketch_quantiles(merged, ["g"], [0.25, 0.5]).collect()}
+    assert got[("S", 0.5)] == (1, 7.0) and got[("L", 0.5)][0] == 30_000 and abs(got[("L", 0.5)][1]) < 3 and abs(got[("L", 0.25)][1] + 67.4) < 3
     assert quantiles.merge_sketches(quantiles.build_sketches(df.limit(0), ["g"], "v"), ["g"]).collect() == []
 
 
