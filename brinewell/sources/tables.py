@@ -42,8 +42,6 @@ def read_article_json(spark: SparkSession, path: str, first: int = 1) -> DataFra
     multi-line scan, so a file's rows keep their order; file offsets come from a
     count per file, never from a single sorted task.
     """
-    import posixpath  # noqa: F401  (paths stay URIs)
-
     raw = spark.read.option("multiLine", True).schema(ARTICLE_JSON).json(path)
     tagged = raw.select("title", "date", "content", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_m"))
     per_file = tagged.groupBy("_f").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
