@@ -361,6 +361,28 @@ def test_residue_spreads_to_near_copies(spark):
     assert residue.residue(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_residue_links_against_brute_force(spark):
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), r.integers(3, 9))) for _ in range(600)]
+    rows = []
+    for k in range(12):
+        seed = "\n".join(f"Bad gateway {' '.join(r.choice(words, 4))}." for _ in range(12))
+        rows.append(seed)
+        for cut in (1, 2, 3, 4):
+            rows.append(seed + "\n" + " ".join(r.choice(words, 4 * cut)) + ", so we are sorry for that.")
+        rows.append(rows[-2] + " " + " ".join(r.choice(words, 10)) + ".")
+    sets = [residue.shingles(t) for t in rows]
+    want = {i for i, t in enumerate(rows) if residue.whole_page(t)}
+    far = [bin(residue.simhash(residue.page_code(rows[i])) ^ residue.simhash(residue.page_code(rows[j]))).count("1") for i in want for j in range(len(rows)) if nearcopies.jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(want) == 12 and max(far) > 3
+    seeds, new = set(want), set(want)
+    while new:
+        new = {j for i in new for j in range(len(rows)) if j not in want and nearcopies.jaccard(sets[i], sets[j]) >= 0.8}
+        want |= new
+    got = {x[0] for x in residue.residue(docs(spark, list(enumerate(rows)))).collect()}
+    assert got == want and len(want) > len(seeds) + 12
+
+
 def test_simhash_counts_bits():
     for t in ("", "ab", "the quick brown fox jumps over", "가나다라마바사" * 50):
         h = nearcopies.gram_hashes(residue.page_code(t), min(5, max(1, len(residue.page_code(t)))))
