@@ -257,6 +257,38 @@ def test_near_copies_against_brute_force(spark, parts):
     assert nearcopies.near_copies(df.limit(0), "seq_num", "title", "content").collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_crowd_around_a_late_centre(spark, parts):
+    r = np.random.default_rng(5)
+    base = r.choice(list("abcdefghijklmnopqrstuvwxyz"), 900)
+    texts = []
+    for _ in range(150):
+        # copies are alike to the base in the middle, and hardly to each other
+        x = base.copy()
+        for at in r.choice(900, 40, replace=False):
+            x[at] = r.choice(list("0123456789"))
+        texts.append("".join(x))
+    texts.append("".join(base))
+    grams = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    alike = lambda x, y: len(grams[x] & grams[y]) >= 0.6 * len(grams[x] | grams[y])
+    with_base = [x for x in range(150) if alike(x, 150)]
+    assert len(with_base) > 100 and sum(alike(x, y) for x in range(150) for y in range(x)) < 150
+    parent = list(range(151))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for y in range(151):
+        for x in range(y):
+            if alike(x, y):
+                parent[max(find(x), find(y))] = min(find(x), find(y))
+    df = spark.createDataFrame([(i + 1, None, t) for i, t in enumerate(texts)], "seq_num long, title string, content string").repartition(parts)
+    got = {x["seq_num"] - 1: x["group_id"] - 1 for x in nearcopies.near_copies(df, "seq_num", "title", "content").collect()}
+    assert got == {x: find(x) for x in range(151) if sum(find(y) == find(x) for y in range(151)) > 1}
+
+
 # -- tokens ---------------------------------------------------------------------------------------
 
 TEXTS = [None, "", " ", "Hello  world's 123abc\n\n", "가나다 漢字 ไทย हिन्दी 😀<|endoftext|>", LONG, "a" * 30_000, ("x1" * 9000) + " \n\t " * 50, "é" * 9000 + " it's  "]
