@@ -380,6 +380,13 @@ def test_residue_wording():
     assert not residue.whole_page(article + PAGE_TEXTS[0]) and not residue.whole_page("A title only") and residue.left_in(LONG + SLOT_TEXTS[0])
 
 
+def test_long_slots():
+    long = "sampling station name " * 6
+    name = "stationname" * 6
+    slots = ["{{ name | default(" + long + ") | upper }}", "{% for x in " + long + "%}", "<%= " + long + "%>", "[[" + long + "]]", "@@" + name + "@@", "%" + name + "%", "<" + name + ">", "&lt;" + name + "&gt;", "[insert " + long + "]", "[" + long + "입력]"]
+    assert [x for x in slots if not residue.left_in("Here is " + x + " at last.")] == []
+
+
 def test_residue_spreads_to_near_copies(spark):
     page = "Our service is being moved to new machines and will be back soon. Bad gateway. " * 1
     seed = "\n".join(PAGE_TEXTS[:3] + [f"Bad gateway {w}: the host did not answer in time." for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()])
