@@ -289,6 +289,41 @@ def test_crowd_around_a_late_centre(spark, parts):
     assert got == {x: find(x) for x in range(151) if sum(find(y) == find(x) for y in range(151)) > 1}
 
 
+def pairs_found(spark, texts, parts=4):
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "seq_num long, title string, content string").repartition(parts)
+    sketched = df.select("seq_num", "title", "content").mapInArrow(nearcopies._sketch(0.6), nearcopies.SKETCHED_DDL)
+    return set(map(tuple, nearcopies.candidate_pairs(sketched, 0.6).collect()))
+
+
+def alike(a, b):
+    x, y = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_with_edits_spread_evenly_or_at_random(spark):
+    r = np.random.default_rng(21)
+    letters, other = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
+    texts, want = [], set()
+    for k in range(700):
+        # every length from a line to a long article, edits of three kinds
+        base = r.choice(letters, int(r.choice([24, 40, 80, 200, 400, 900, 3000])))
+        if k % 2:
+            edits = set(range(int(r.integers(0, 20)), len(base), 20 + k % 7))
+        else:
+            edits = set(np.flatnonzero(r.uniform(size=len(base)) < r.uniform(0.03, 0.06)).tolist())
+        out = []
+        for i, c in enumerate(base):
+            kind = k % 3 if k % 5 else int(r.integers(0, 3))
+            out += [c] if i not in edits else [str(r.choice(other))] if kind == 0 else [c, str(r.choice(other))] if kind == 1 else []
+        texts += ["".join(base), "".join(out)]
+        if alike(*texts[-2:]) >= 0.6:
+            want.add((2 * k, 2 * k + 1))
+    close = sum(alike(texts[a], texts[b]) < 0.65 for a, b in want)
+    assert len(want) > 400 and close > 100
+    got = [pairs_found(spark, texts, n) for n in (1, 6, 64)]
+    assert got[0] == got[1] == got[2] and want <= got[0]
+
+
 # -- tokens ---------------------------------------------------------------------------------------
 
 TEXTS = [None, "", " ", "Hello  world's 123abc\n\n", "가나다 漢字 ไทย हिन्दी 😀<|endoftext|>", LONG, "a" * 30_000, ("x1" * 9000) + " \n\t " * 50, "é" * 9000 + " it's  "]
