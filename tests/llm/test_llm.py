@@ -435,8 +435,8 @@ def test_long_slots():
 
 
 def test_residue_spreads_through_messages(spark):
-    known, unknown = "Bad gateway (502).", "Our store of articles is closed for the night."
-    variant = "Our store of articles is closed for this night."
+    known, unknown = "Bad gateway (502).", "Our store of articles is closed for the night and will open again in the early morning."
+    variant = "Our store of articles is closed for the night and will open again in the late morning."
     plain = "The boat left Alva Bay and towed a net. " * 20
     rows = [
         (1, f"{known} {unknown}"), (2, unknown), (3, f"A title\n{variant}\nHome | About"), (4, plain), (5, SLOT_TEXTS[0] + plain), (6, (SLOT_TEXTS[0] + plain).replace("{{ sampling_date }}", "nine")),
