@@ -1,11 +1,13 @@
 """Broken prompt and response pairs: a document and the questions written on it.
 
-Per pair, prompt and response are aligned: shingle containment screens for
-copies, which then must cover whole sentences of the document; the longest
-common subsequence of tokens aligns a response with refusal templates.  Whether
-a question without a closing mark is complete is learned from the whole corpus:
-questions that carry their mark show which skeletons are complete, and one that
-has no such skeleton breaks off.
+Prompt and response are aligned: the share of a response's 5-character shingles
+that the document holds screens for copies, which are then aligned with a run of
+whole sentences by their longest common subsequence; statements are aligned the
+same way with templates of refusals, put together from words for declining, doing
+and asking.  Languages are told apart by character trigrams, fitted on a bounded
+sample of labelled texts.  Whether a question without a closing mark is complete
+is learned from the whole corpus: questions that carry their mark show which
+skeletons are complete, and one that has no such skeleton breaks off.
 
 Defined results: a null or empty array is one ``empty`` row at position -1; null
 elements and those of nothing but white space, invisible characters or a list
@@ -17,75 +19,52 @@ empty, refusal, copy, other_language, truncated.
 from __future__ import annotations
 
 import functools
+import itertools
+import pickle
+import re
 import unicodedata
+from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.runtime import spill_table
 
+from .nearcopies import gram_hashes
+
 LIST_MARK = regex.compile(r"^[\s\p{Cf}]*(?:(?:\(?\p{N}{1,3}[.):]|[-*•·–—▪◦‣]|[Qq]\s?\p{N}{0,3}\s?[.:)]|[①-⑳])[\s\p{Cf}]*)?")
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\sᅟᅠㅤﾠ]+")
-END_MARK = regex.compile(r"[\s.!?。！？।…\"”’»」』]+$")
-QUESTION_END = regex.compile(r"[?？]\s*[\"”’»」』)]*\s*$")
-CUT_END = regex.compile(r"(?:\.\.\.|…|[,;:、，\-–—])\s*$")
+END_MARK = re.compile(r"[\s.!?。！？।…\"”’»」』]+$")
+QUESTION_END = re.compile(r"[?？]\s*[\"”’»」』)]*\s*$")
+CUT_END = re.compile(r"(?:\.\.\.|…|[,;:、，\-–—])\s*$")
 
-# Refusal templates, "_" for anything. One line each.
+# Parts of refusal templates, a line for each kind: words of declining / doing / what is asked, in order, "|" between choices.
 REFUSALS = """
-I'm sorry, but I can't write questions about _ from this passage
-I'm sorry, but I cannot help with that
-Sorry, I can't help with that
-Sorry, that request falls outside what I can do
-I am sorry, I am unable to create a question
-I must decline to produce questions for this text
-I cannot generate questions for this text
-I can't create questions based on this document
-As an assistant I am not able to help with the passage on _
-As an AI language model, I cannot _
-I'm unable to write a question
-Unable to comply: the passage about _ breaks the usage policy
-There is not enough information here to form a question
-The text does not contain enough information for a question
-No question can be made from this text
-It is not possible to write a question from this passage
-Lo siento, no puedo redactar preguntas sobre _
-Lo siento, pero no puedo ayudar con eso
-Lamento no poder formular preguntas sobre _
-No dispongo de datos suficientes para formular una pregunta
-No es posible formular una pregunta a partir de este texto
-No puedo generar preguntas sobre este texto
-Como asistente, no me es posible ayudar con este texto
-El texto no contiene información suficiente para una pregunta
-Dabei kann ich nicht helfen
-Leider kann ich zu _ keine Fragen erstellen
-Es tut mir leid, ich kann keine Fragen zu diesem Text erstellen
-Der Text enthält nicht genug Angaben für eine Frage
-Aus diesem Text lässt sich keine Frage bilden
-Als Assistent kann ich bei diesem Text nicht helfen
-Diese Anfrage kann ich nicht bearbeiten
-죄송합니다 _에 관한 질문은 만들 수 없습니다
-죄송하지만 질문을 생성할 수 없습니다
-정보가 부족하여 질문 생성을 도와드리지 못합니다
-제공된 문서만으로는 질문을 작성하기 어렵습니다
-저는 언어 모델이라 해당 요청을 처리할 수 없어요
-요청하신 내용에는 답변드릴 수 없음을 양해 바랍니다
-이 글로는 질문을 만들 수 없습니다
-この文章だけでは質問を作ることができません
-そのご依頼にはお応えしかねます
-申し訳ありませんが、_についての質問は作成できません
-情報が不足しているため質問を作成できません
-アシスタントとしてこの依頼には対応できません
-所给文本信息不足，不能生成问题
-作为助手，我不能处理这个请求
-抱歉，我无法就_的内容提出问题
-对不起，我不能回答这个请求
-根据这段文字无法提出问题
-ขออภัย ไม่สามารถตั้งคำถามจากข้อความนี้ได้
-ข้อมูลไม่เพียงพอสำหรับการตั้งคำถาม
-क्षमा करें, मैं इस पाठ पर प्रश्न नहीं बना सकता
-इस पाठ में प्रश्न बनाने के लिए पर्याप्त जानकारी नहीं है
+i cannot|i can't|i can not|i won't|i will not|i am unable|i'm unable|i am not able|i'm not able|i must decline / write|create|produce|generate|form|make|help|answer|assist|comply|do
+unable to|cannot|decline to / comply|answer|help|assist / request|passage|text|document|question|that
+not enough|no enough|insufficient|too little / information|data|context|detail / question|questions|answer
+no question|no questions|not possible / write|made|form|created|written|generated|drawn
+request / outside|beyond|against / i can|policy|scope
+no puedo|no podemos|no me es posible|no es posible|lamento no poder|soy incapaz de / redactar|escribir|crear|formular|generar|hacer|elaborar|ayudar|responder
+no dispongo|no hay|no contiene|faltan|insuficientes / datos|información|contexto / pregunta|preguntas
+kann ich|ich kann|können wir|lässt sich|lassen sich / keine frage|keine fragen|nicht helfen|nicht beantworten|nicht bearbeiten|nicht erstellen
+nicht genug|nicht genügend|zu wenig|keine ausreichenden / angaben|informationen|daten / frage|fragen
+anfrage|bitte / kann ich nicht|können wir nicht
+질문|문제 / 만들|생성|작성|제시|도출 / 수 없|기 어렵|지 못
+요청|질문|답변 / 처리|답변|응답|대답|도와 / 수 없|기 어렵|지 못
+정보|내용|자료 / 부족
+質問|問題 / 作|生成|作成 / できません|できない|かねます
+依頼|要求|質問|リクエスト / 応|対応|答|処理 / かねます|できません|できない
+情報|内容 / 不足|足り / 質問|問題
+不能|无法|不可|没法 / 提出|生成|回答|处理|提供|编写 / 问题|请求|提问
+信息|内容|资料 / 不足|不够 / 问题|提问
+ไม่สามารถ|ไม่ได้ / ตั้ง|สร้าง|ตอบ|ช่วย / คำถาม|คำขอ|ข้อความ
+ข้อมูล / ไม่เพียงพอ|ไม่พอ
+प्रश्न|सवाल / नहीं / बना|लिख|सकता|सकती
+जानकारी|सामग्री / नहीं|अपर्याप्त / प्रश्न|सवाल|है
 """
 
 # Interrogatives, by which a Chinese question's skeleton is anchored.
@@ -96,20 +75,21 @@ ASKING = regex.compile(
     r"wer|was|wann|wo|womit|warum|wie|welche\p{L}*|wessen|wem|wen|woher|wohin|wodurch|(?:in|an|auf|mit|von|bei|um|vor|zu)\s+(?:welche\p{L}*|wie))\b"
     r"|什么|为什么|多少|哪|怎|如何|几|谁|吗|何|どこ|なぜ|いつ|どの|だれ|どう|いくつ|무엇|언제|어디|어떻|얼마|누구|왜|며칠|몇"
 )
-# Frequent function words, by which Latin-script languages are told apart.
-FUNCTION_WORDS = {
-    "en": "the of and to in a is that for it was on are with as at be this by from which what how who when where why did does do many were not or an have had can than last off near",
-    "es": "el la los las de del que y en un una por con para se su al es lo como más o pero sus le ya qué cómo cuál cuáles cuántos cuántas cuándo dónde quién sobre entre frente según desde",
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass nach wird bei einer um am sind wie was wann wo warum womit welche welcher welches vom zur zum vor über viele wurde",
-}
-_WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}]+)?")
-_TOKEN = regex.compile(r"[\p{IsLatin}\p{N}\p{IsDevanagari}\p{M}]+|[\p{L}]|_")
+_TOKEN = regex.compile(r"[\p{IsLatin}\p{N}\p{IsDevanagari}\p{M}]+|[\p{L}]")
+_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_QUOTES = dict.fromkeys(map(ord, "\"'“”„’‘«»「」『』"))
+
+
+@functools.lru_cache(maxsize=1)
+def _unseen():
+    """Format characters, which comparisons leave out."""
+    return {c: None for c in itertools.chain(range(0x20), range(0x7F, 0x3000), range(0xFE00, 0x10000), range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) == "Cf"} | _QUOTES
 
 
 def squash(text: str) -> str:
     """Lower case without white space, invisible characters and quotation marks."""
-    return regex.sub(r"[\s\p{Cf}\"'“”„’‘«»「」『』]+", "", unicodedata.normalize("NFC", text).lower())
+    return "".join(unicodedata.normalize("NFC", text).lower().translate(_unseen()).split())
 
 
 def body_of(response: str) -> str:
@@ -117,6 +97,9 @@ def body_of(response: str) -> str:
     return LIST_MARK.sub("", response, count=1).strip()
 
 
+# -- alignment ------------------------------------------------------------------------------------
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence (bit-parallel)."""
     where: dict = {}
@@ -129,214 +112,301 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - bin(row).count("1")
 
 
-@functools.lru_cache(maxsize=1)
-def _templates() -> list[tuple[list[str], bool]]:
-    out = []
-    for line in REFUSALS.strip().splitlines():
-        t = _TOKEN.findall(unicodedata.normalize("NFC", line.lower()))
-        out.append(([x for x in t if x != "_"], "_" in t))
-    return out
+def _tokens(text: str) -> list[str]:
+    return _TOKEN.findall(unicodedata.normalize("NFC", text.lower()))
 
 
 @functools.lru_cache(maxsize=1)
-def _template_index() -> dict[str, list[int]]:
-    index: dict[str, list[int]] = {}
-    for k, (tokens, _) in enumerate(_templates()):
-        for a, b in zip(tokens, tokens[1:]):
-            index.setdefault(a + " " + b, []).append(k)
-    return index
+def _templates() -> dict[str, list[list[str]]]:
+    """Templates by their last token: every choice of every part, in order."""
+    out: dict[str, list[list[str]]] = {}
+    for line in REFUSALS.strip().splitlines():
+        for choice in itertools.product(*(part.split("|") for part in line.split(" / "))):
+            tokens = [t for x in choice for t in _tokens(x)]
+            out.setdefault(tokens[-1], []).append(tokens)
+    return out
 
 
-def is_refusal(response: str, threshold: float = 0.8) -> bool:
-    """A statement whose tokens follow a refusal template: at least ``threshold`` of the template's
-    tokens in order, and (unless it has a slot) of its own tokens too. A question is none."""
+def is_refusal(response: str) -> bool:
+    """A statement that holds all tokens of a refusal template in order, as their longest common
+    subsequence. A question is none."""
     body = body_of(response)
     if QUESTION_END.search(body) or ASKING.match(body):
         return False
-    tokens = _TOKEN.findall(unicodedata.normalize("NFC", body.lower()))
-    if not 3 <= len(tokens) <= 80:
-        return False
-    index, votes = _template_index(), {}
-    for a, b in zip(tokens, tokens[1:]):
-        for k in index.get(a + " " + b, ()):
-            votes[k] = votes.get(k, 0) + 1
-    for k, n in votes.items():
-        t, slot = _templates()[k]
-        # shingle containment first; only near templates are aligned
-        if n < 0.4 * (len(t) - 1):
-            continue
-        same = lcs_length(t, tokens)
-        if same >= threshold * len(t) and (slot or same >= threshold * len(tokens)):
-            return True
+    tokens = _tokens(body)
+    known, index = set(tokens), _templates()
+    for last in known & index.keys():
+        for t in index[last]:
+            if known.issuperset(t) and lcs_length(t, tokens) == len(t):
+                return True
     return False
 
 
-def shingles(text: str, n: int = 5) -> set[str]:
-    return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
+#: Share of a response's shingles that the document holds, and of the longer text that is common in order, in a copy.
+CONTAINED, ALIGNED = 0.9, 0.95
+_SENTENCE = re.compile(r"[^.!?。！？।…\x00]*[.!?。！？।…\x00]+")
+
+
+def contained(responses: list[str], docs: list[str], of: np.ndarray, n: int = 5) -> np.ndarray:
+    """Share of each response's shingles found in its document (``of`` gives the document), all at once."""
+
+    def hashes(texts, salt):
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        size = np.array([len(c) for c in codes], np.int64)
+        h = gram_hashes(np.concatenate([*codes, np.zeros(n, np.uint32)]), n)
+        many = np.maximum(size - n + 1, 0)
+        at = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        with np.errstate(over="ignore"):
+            return h[at] ^ np.repeat(salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), many), many
+
+    have = np.sort(hashes(docs, np.arange(len(docs)))[0])
+    mine, many = hashes(responses, of)
+    out = np.zeros(len(responses))
+    if len(have) and len(mine):
+        hit = have[np.minimum(np.searchsorted(have, mine), len(have) - 1)] == mine
+        upto = np.concatenate([[0], np.cumsum(hit)])
+        end = np.cumsum(many)
+        out = np.where(many > 0, (upto[end] - upto[end - many]) / np.maximum(many, 1), 0.0)
+    for i in np.flatnonzero(many == 0).tolist():
+        out[i] = float(responses[i] != "" and responses[i] in docs[of[i]])
+    return out
 
 
-_STOPS = ".!?。！？।…"
+def sentence_edges(doc: str) -> tuple[list[int], list[int]]:
+    """Where sentences of a squashed document begin and where their letters end."""
+    start, stop = [], []
+    at = 0
+    for m in _SENTENCE.finditer(doc + "\x00"):
+        start.append(m.start())
+        stop.append(m.start() + len(m.group(0).rstrip(".!?。！？।…\x00")))
+        at = m.end()
+    return start, stop
 
 
-def is_copy(response: str, doc: str, doc_shingles: set[str]) -> bool:
-    """The response is a run of whole sentences of the document, but for case, spacing, list mark and closing mark.
+def is_aligned_copy(own: str, doc: str) -> bool:
+    """A run of whole sentences of ``doc`` has at least ``ALIGNED`` of its letters in order in ``own``, and the other way round.
 
-    ``doc`` is squashed. Containment of the response's shingles screens; the run
-    found must begin and end at sentence ends of the document.
+    Both are squashed; the runs tried are those that begin where a shingle of the
+    response says it would begin.
     """
-    own = squash(END_MARK.sub("", body_of(response)))
-    if len(own) < 6 or not doc:
-        return False
-    mine = shingles(own)
-    if len(mine & doc_shingles) < 0.9 * len(mine):
-        return False
-    if "\x00" in doc and own not in doc:
-        doc = doc.replace("\x00", "")  # a run over several paragraphs
-    at = doc.find(own)
-    while at >= 0:
-        end = at + len(own)
-        starts = at == 0 or doc[at - 1] in _STOPS + "\x00" or doc[:at].rstrip("?!.…").endswith("\x00")
-        ends = end == len(doc) or doc[end] in _STOPS + "\x00"
-        if starts and ends:
-            return True
-        at = doc.find(own, at + 1)
+    starts, stops = sentence_edges(doc)
+    tried = set()
+    for k in range(0, max(1, len(own) - 4), max(1, len(own) // 4)):
+        at = doc.find(own[k : k + 5])
+        while at >= 0:
+            i = min(range(len(starts)), key=lambda j: abs(starts[j] - (at - k)))
+            j = min(range(len(stops)), key=lambda j: abs(stops[j] - (starts[i] + len(own))))
+            if (i, j) not in tried and i <= j:
+                tried.add((i, j))
+                run = doc[starts[i] : stops[j]].replace("\x00", "")
+                most = max(len(run), len(own))
+                if min(len(run), len(own)) >= ALIGNED * most and lcs_length(list(own), list(run)) >= ALIGNED * most:
+                    return True
+            at = doc.find(own[k : k + 5], at + 1)
     return False
 
 
-def languages_of(text: str) -> dict[str, int]:
-    """Evidence per language: letters of its script, words for Latin script."""
-    n = {"ko": len(regex.findall(r"\p{IsHangul}", text)), "th": len(regex.findall(r"\p{IsThai}", text)), "hi": len(regex.findall(r"\p{IsDevanagari}", text))}
-    kana, han = len(regex.findall(r"[\p{IsHiragana}\p{IsKatakana}]", text)), len(regex.findall(r"\p{IsHan}", text))
-    n["ja"], n["zh"] = (kana + han, 0) if kana * 12 >= han and kana else (0, han)
-    latin = [w.lower() for w in regex.findall(r"\p{IsLatin}+", text)]
-    if latin:
-        seen = {k: sum(w in v for w in latin) for k, v in _WORDS.items()}
-        seen["es"] += 2 * len(regex.findall(r"[¿¡ñ]", text))
-        seen["de"] += len(regex.findall(r"[äöüß]", text))
-        best = max(seen, key=seen.get)
-        if seen[best] and list(seen.values()).count(seen[best]) == 1:
-            n[best] = 5 * len(latin)
-    return {k: v for k, v in n.items() if v}
+# -- languages ------------------------------------------------------------------------------------
+
+#: Lengths of the strings that tell languages apart, their buckets, labelled texts that the languages are fitted on, and the words of each that count as common.
+LENGTHS, BUCKETS, LABELLED, COMMON = (1, 3), 1 << 15, 5000, 50
 
 
-def main_language(text: str) -> str | None:
-    n = languages_of(text)
-    return max(n, key=n.get) if n else None
+def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all ``n``-character strings of the lower-case texts (a blank at both ends, digits left out), and how many each text has."""
+    codes = [np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    codes = [c[(c < 48) | (c > 57)] for c in codes]
+    size = np.array([len(c) for c in codes], np.int64)
+    many = np.maximum(size - n + 1, 0)
+    h = gram_hashes(np.concatenate([*codes, np.zeros(n, np.uint32)]), n)
+    at = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    return ((h[at] >> np.uint64(20)) & np.uint64(BUCKETS - 1)).astype(np.int64), many
 
 
-def skeleton(body: str, lang: str | None) -> str:
-    """What makes a question of its kind complete, whatever it asks about.
+class Languages:
+    """Naive Bayes over single characters and trigrams; rows of a table are log chances by language.
 
-    Latin script: all words, runs of names as one; Chinese: the last
-    interrogative and the last two characters; other scripts: the last two.
+    A twentieth of the chance is spread over all buckets, so that a string which no
+    language has seen speaks for none.
+    """
+
+    def __init__(self, counts: dict[str, np.ndarray], words: dict[str, Counter]):
+        self.names = sorted(counts)
+        raw = np.array([counts[k] for k in self.names], float).reshape(len(self.names), len(LENGTHS), BUCKETS)
+        chance = 0.95 * raw / np.maximum(raw.sum(2, keepdims=True), 1) + 0.05 / BUCKETS
+        self.tables = [np.ascontiguousarray(np.log(chance[:, i]).T, np.float32) for i in range(len(LENGTHS))]
+        self.common = {k: frozenset(w for w, _ in words[k].most_common(COMMON)) for k in self.names}
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log chance of every text in every language."""
+        out = np.zeros((len(texts), len(self.names)))
+        for n, table in zip(LENGTHS, self.tables if self.names else ()):
+            g, many = _grams(texts, n)
+            some = np.flatnonzero(many)
+            if len(some):
+                out[some] += np.add.reduceat(table[g].astype(np.float64), (np.cumsum(many) - many)[some], axis=0)
+        return out
+
+    @staticmethod
+    def fit(labelled: DataFrame, lang: str, text: str) -> "Languages":
+        """From at most ``LABELLED`` rows with a label and a text; few wrong labels do no harm."""
+
+        def count(batches):
+            counts, words = {}, {}
+            for batch in batches:
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = counts.setdefault(k, np.zeros((len(LENGTHS), BUCKETS), np.int64))
+                    for i, n in enumerate(LENGTHS):
+                        own[i] += np.bincount(_grams([t], n)[0], minlength=BUCKETS)
+                    words.setdefault(k, Counter()).update(set(_WORD.findall(t.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((counts, {k: Counter(dict(c.most_common(COMMON))) for k, c in words.items()}))])], names=["model"])
+
+        picked = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and trim(text) <> ''").limit(LABELLED)
+        got = picked.repartition(1).mapInArrow(count, "model binary").first()
+        return Languages(*pickle.loads(got[0])) if got else Languages({}, {})
+
+
+#: Characters of a document whose language is told at once; share of them that makes a language the document's own;
+#: how much likelier (in natural logs, and a character) a question must be in its own language than in one of those.
+STRETCH, OWN_SHARE, MARGIN = 60, 0.1, 0.15
+
+
+def languages_of(model: Languages, docs: list[str]) -> np.ndarray:
+    """For every document and language, whether the language is the document's own."""
+    stretches, owner = [], []
+    for i, d in enumerate(docs):
+        parts = [d[k : k + STRETCH] for k in range(0, len(d), STRETCH)]
+        stretches += parts
+        owner += [i] * len(parts)
+    own = np.zeros((len(docs), len(model.names)))
+    if stretches and model.names:
+        best = model.scores(stretches).argmax(1)
+        np.add.at(own, (np.array(owner), best), [len(x) for x in stretches])
+    return own >= OWN_SHARE * np.maximum(own.sum(1, keepdims=True), 1)
+
+
+# -- completeness ---------------------------------------------------------------------------------
+
+
+def _cased(core: str) -> list[str]:
+    return [("0" if w[0].isdigit() else w.lower() if i == 0 or not w[0].isupper() else "N") for i, w in enumerate(_WORD.findall(core))]
+
+
+def skeletons(body: str, lang: str | None, common: frozenset, words: frozenset | set) -> tuple[str, str | None]:
+    """What makes a question of its kind complete, whatever it asks about; and, in Latin script, the same with
+    runs of the document's own words (but for common ones and the last two) as one.
+
+    Latin script: all words, runs of names as one; Chinese: the last interrogative
+    and the last two characters; other scripts: the last two.
     """
     core = END_MARK.sub("", body).lstrip("¿¡ ")
-    if lang in ("en", "es", "de") or lang is None:
+    if len(_LATIN.findall(core)) * 2 > len(core.replace(" ", "")) or lang is None:
+        tight = _cased(core)
+        tight = [t for i, t in enumerate(tight) if not (t == "N" and i and tight[i - 1] == "N")]
         out: list[str] = []
-        for i, w in enumerate(_WORD.findall(core)):
-            # dotted titles belong to the name they introduce
-            k = "0" if w[0].isdigit() else w.lower() if i == 0 or not w[0].isupper() else "N"
-            if not (k == "N" and out and out[-1] == "N"):
+        for i, t in enumerate(tight):
+            k = "D" if i < len(tight) - 2 and t not in "N0" and t in words and t not in common else t
+            if not (k == "D" and out and out[-1] == "D"):
                 out.append(k)
-        return f"{lang or 'xx'}|" + " ".join(out)
-    tight = regex.sub(r"\s+", "", core)
+        return f"{lang or 'xx'}|" + " ".join(tight), f"{lang or 'xx'}~" + " ".join(out)
+    tight = "".join(core.split())
     if lang == "zh":
         hits = [(tight.rfind(w), -len(w), w) for w in CHINESE_ASKING if w in tight]
-        ask = max(hits)[2] if hits else ""
-        return f"zh|{ask}|{tight[-2:]}"
-    return f"{lang}|{tight[-2:]}"
+        return f"zh|{max(hits)[2] if hits else ''}|{tight[-2:]}", None
+    return f"{lang}|{tight[-2:]}", None
 
 
-def loose_skeleton(body: str, lang: str | None, words: frozenset | set) -> str | None:
-    """The skeleton with runs of the document's own content words as one, but for the last two words."""
-    if lang not in ("en", "es", "de"):
-        return None
-    tokens = [("0" if w[0].isdigit() else w.lower() if i == 0 or not w[0].isupper() else "N") for i, w in enumerate(_WORD.findall(END_MARK.sub("", body).lstrip("¿¡ ")))]
-    tight = [t for i, t in enumerate(tokens) if not (t == "N" and i and tokens[i - 1] == "N")]
-    out: list[str] = []
-    for i, t in enumerate(tight):
-        k = "D" if i < len(tight) - 2 and t not in "N0" and t in words and t not in _WORDS[lang] else t
-        if not (k == "D" and out and out[-1] == "D"):
-            out.append(k)
-    return f"{lang}~" + " ".join(out)
+_NAME_END = re.compile(r"[^\W\d_a-zß-ÿ][^\W\d_]*(?:\s+[^\W\d_a-zß-ÿ][^\W\d_]*)*$")
 
 
 def name_breaks_off(body: str, document: str) -> bool:
     """The question ends inside a name: the document goes on with the word or the name wherever it has it."""
-    core = END_MARK.sub("", body)
-    m = regex.search(r"(?:\p{Lu}[\p{L}\p{M}]*)(?:\s+\p{Lu}[\p{L}\p{M}]*)*$", core)
-    if not m or not m.group(0):
+    m = _NAME_END.search(END_MARK.sub("", body))
+    if not m or not m.group(0)[0].isupper() or not _LATIN.match(m.group(0)):
         return False
-    tail = r"\s+".join(map(regex.escape, m.group(0).split()))
-    whole = regex.findall(rf"(?<![\p{{L}}]){tail}(?![\p{{L}}\p{{M}}])(\s+\p{{Lu}}[\p{{L}}\p{{M}}]+)?", document)
-    if whole:
-        return all(whole)
-    return regex.search(rf"(?<![\p{{L}}]){tail}[\p{{L}}\p{{M}}]", document) is not None
+    tail, flat = " ".join(m.group(0).split()), " ".join(document.split())
+    at, whole, longer = flat.find(tail), [], False
+    while at >= 0:
+        end = at + len(tail)
+        if at == 0 or not flat[at - 1].isalpha():
+            if end < len(flat) and (flat[end].isalpha() or unicodedata.combining(flat[end])):
+                longer = True
+            else:
+                # the name goes on if the next word is capitalised and has a second letter
+                whole.append(flat[end : end + 1] == " " and flat[end + 1 : end + 2].isupper() and flat[end + 2 : end + 3].isalpha())
+        at = flat.find(tail, at + 1)
+    return all(whole) if whole else longer
 
 
 JUDGED = "row_id long, query_pos int, defect string, marked boolean, skeleton string, loose string, breaks_off boolean"
 
 
-def _judge(rows):
-    for pdf in rows:
-        out = []
-        for rid, document, queries in pdf.itertuples(index=False):
-            if queries is None or len(queries) == 0:
-                out.append((rid, -1, "empty", False, None, None, False))
-                continue
-            document = document if isinstance(document, str) else ""
-            # empty lines are kept as boundaries
-            tight = "\x00".join(squash(p) for p in regex.split(r"\n\s*\n", document) if p.strip())
-            have, langs, words = None, None, None
-            for pos, q in enumerate(queries):
-                if q is None or not INVISIBLE.sub("", body_of(INVISIBLE.sub(" ", q))):
-                    out.append((rid, pos, "empty", False, None, None, False))
-                    continue
-                if is_refusal(q):
-                    out.append((rid, pos, "refusal", False, None, None, False))
-                    continue
-                if have is None:
-                    have, langs = shingles(tight), languages_of(document)
-                if is_copy(q, tight, have):
-                    out.append((rid, pos, "copy", False, None, None, False))
-                    continue
-                body = body_of(q)
-                lang, marked = main_language(body), bool(QUESTION_END.search(body))
-                total = sum(langs.values())
-                if lang and total and langs.get(lang, 0) < 0.1 * total and len(body) > 8:
-                    if marked or ASKING.search(body):
-                        out.append((rid, pos, "other_language", marked, None, None, False))
+_JUDGED = pa.schema([("row_id", pa.int64()), ("query_pos", pa.int32()), ("defect", pa.string()), ("marked", pa.bool_()), ("skeleton", pa.string()), ("loose", pa.string()), ("breaks_off", pa.bool_())])
+
+
+def _judge(model: Languages):
+    def run(batches):
+        for batch in batches:
+            out, left = [], []
+            ids, docs = batch.column("row_id").to_pylist(), [d or "" for d in batch.column("document").to_pylist()]
+            for i, queries in enumerate(batch.column("queries").to_pylist()):
+                if not queries:
+                    out.append((ids[i], -1, "empty", False, None, None, False))
+                for pos, q in enumerate(queries or ()):
+                    body = "" if q is None else body_of(q)
+                    if not body or not body.isascii() and not INVISIBLE.sub("", body_of(INVISIBLE.sub(" ", q))):
+                        out.append((ids[i], pos, "empty", False, None, None, False))
+                    elif is_refusal(q):
+                        out.append((ids[i], pos, "refusal", False, None, None, False))
+                    else:
+                        left.append((i, pos, body))
+            if left:
+                of = np.array([i for i, _, _ in left])
+                # empty lines are kept as boundaries
+                tight = ["\x00".join(squash(p) for p in re.split(r"\n\s*\n", d) if p.strip()) for d in docs]
+                own = [squash(END_MARK.sub("", b)) for _, _, b in left]
+                near = contained(own, tight, of) >= CONTAINED
+                own_languages, score = languages_of(model, docs), model.scores([b for _, _, b in left])
+                words, seen = set(), -1
+                for k, (i, pos, body) in enumerate(left):
+                    if near[k] and is_aligned_copy(own[k], tight[i]):
+                        out.append((ids[i], pos, "copy", False, None, None, False))
                         continue
-                if langs and (lang is None or langs.get(lang, 0) < 0.1 * total):
-                    lang = max(langs, key=langs.get)
-                sk = skeleton(body, lang)
-                cut = bool(CUT_END.search(body)) or (not marked and lang in ("en", "es", "de") and name_breaks_off(body, document))
-                if words is None:
-                    words = {w.lower() for w in _WORD.findall(document)}
-                out.append((rid, pos, None, marked, sk, loose_skeleton(body, lang, words), cut))
-        yield pd.DataFrame(out, columns=["row_id", "query_pos", "defect", "marked", "skeleton", "loose", "breaks_off"])
-
-
-def broken_pairs(states: DataFrame, state_id: str = "state_id", document: str = "document", queries: str = "queries", *, least_share: float = 0.002) -> DataFrame:
+                    marked, mine, lang = QUESTION_END.search(body) is not None, own_languages[i], None
+                    if model.names:
+                        best = int(score[k].argmax())
+                        if mine.any() and not mine[best]:
+                            if score[k][best] - score[k][mine].max() >= MARGIN * len(body) and (marked or ASKING.search(body)):
+                                out.append((ids[i], pos, "other_language", marked, None, None, False))
+                                continue
+                            best = int(np.where(mine, score[k], -np.inf).argmax())
+                        lang = model.names[best]
+                    if seen != i:
+                        words, seen = set(_WORD.findall(docs[i].lower())), i
+                    strict, loose = skeletons(body, lang, model.common.get(lang, frozenset()), words)
+                    cut = CUT_END.search(body) is not None or not marked and name_breaks_off(body, docs[i])
+                    out.append((ids[i], pos, None, marked, strict, loose, cut))
+            cols = list(zip(*out)) if out else [[] for _ in _JUDGED]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _JUDGED)], schema=_JUDGED)
+
+    return run
+
+
+def broken_pairs(states: DataFrame, labelled: DataFrame, state_id: str = "state_id", document: str = "document", queries: str = "queries", *, lang: str = "lang", text: str = "text") -> DataFrame:
     """(state_id, query_pos, defect) of every defective pair.
 
-    Skeletons are complete when marked questions of the corpus have them; a
-    kind of skeleton that is only an ending (scripts without cased words) also
-    needs a share of ``least_share`` of its language's marked questions.
+    ``labelled`` has texts with the language of each, on a sample of which the
+    languages are fitted.  Skeletons are complete when marked questions of the
+    corpus have them; a kind of skeleton that is only an ending (scripts without
+    cased words) must be marked more often than it is not.
     """
     rows = states.select(F.col(state_id).cast("long").alias("row_id"), F.col(document).alias("document"), F.col(queries).alias("queries"))
-    judged = spill_table(rows.mapInPandas(_judge, JUDGED), "pairs")
-    language = F.substring_index("skeleton", "|", 1)
-    marked = judged.where("defect is null and marked and not breaks_off").groupBy("skeleton").agg(F.count(F.lit(1)).alias("n"))
-    totals = marked.groupBy(language.alias("language")).agg(F.sum("n").alias("total"))
-    known = (
-        marked.withColumn("language", language)
-        .join(totals, "language")
-        .where(F.col("language").isin("en", "es", "de", "xx") | (F.col("n") >= F.lit(least_share) * F.col("total")))
-        .select("skeleton", F.lit(True).alias("known"))
-    )
+    judged = spill_table(rows.mapInArrow(_judge(Languages.fit(labelled, lang, text)), JUDGED), "pairs")
+    usable = judged.where("defect is null and not breaks_off")
+    # few skeletons hold many rows: counted before they are joined, so no key is hot on the right, and AQE splits hot left keys
+    counts = usable.groupBy("skeleton").agg(F.count(F.when(F.col("marked"), 1)).alias("n"), F.count(F.when(~F.col("marked"), 1)).alias("bare"), F.max(F.col("loose").isNotNull()).alias("worded"))
+    known = counts.where("n > 0 and (worded or n > bare)").select("skeleton", F.lit(True).alias("known"))
+    loose = usable.where("marked and loose is not null").select("loose", F.lit(True).alias("known_loose")).distinct()
     open_ones = judged.where("defect is null and not marked or breaks_off")
-    # few skeletons hold many rows: joined as distinct skeletons, so no key is hot on the right, and AQE splits hot left keys
-    loose = judged.where("defect is null and marked and not breaks_off and loose is not null").select("loose", F.lit(True).alias("known_loose")).distinct()
     broken = open_ones.join(known, "skeleton", "left").join(loose, "loose", "left").where("breaks_off or (known is null and known_loose is null)").select("row_id", "query_pos", F.lit("truncated").alias("defect"))
     return judged.where("defect is not null").select("row_id", "query_pos", "defect").unionByName(broken).withColumnRenamed("row_id", state_id)

@@ -47,7 +47,7 @@ def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.broken_pairs(_table(spark, folder, "selfcheck_state")).select("state_id", F.col("query_pos").cast("int").alias("query_pos"), "defect")
+    return pairs.broken_pairs(_table(spark, folder, "selfcheck_state"), _table(spark, folder, "documents")).select("state_id", F.col("query_pos").cast("int").alias("query_pos"), "defect")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -145,6 +145,32 @@ def test_group_quantiles(spark):
 # -- pairs ----------------------------------------------------------------------------------------
 
 
+UNSEEN_REFUSALS = [
+    "I won't make a quiz question out of this.", "Apologies, but I can't produce anything from such a text.", "We do not have enough context for a question.", "It is not possible that questions be generated from one line.",
+    "No me es posible elaborar preguntas con un texto tan corto.", "El documento no contiene datos para una sola pregunta.", "Hierzu lassen sich keine Fragen bilden.", "Ich kann diese Bitte leider nicht bearbeiten.",
+    "본문이 짧아 문제를 출제해 만들 수 없네요.", "그 요청은 제가 처리할 수 없습니다.", "このテキストから問題を生成できません。", "この質問には対応できない状態です。", "我没法根据这篇文章编写任何提问。", "资料不够，写不出问题。", "ไม่สามารถสร้างคำถามได้", "इस लेख से सवाल नहीं बना सकते",
+]
+STATEMENTS = ["The crew could not reach the bay.", "Fishers cannot enter the harbour.", "No nets were lost.", "Die Crew kann den Hafen nicht erreichen.", "El barco no puede salir del puerto.", "어민들은 항구에 들어갈 수 없다.", "船不能进入港口。"]
+
+
+def test_refusals_that_were_not_seen():
+    found = [pairs.is_refusal(t) for t in UNSEEN_REFUSALS]
+    assert sum(found) >= 0.85 * len(found), [t for t, f in zip(UNSEEN_REFUSALS, found) if not f]
+    assert [t for t in STATEMENTS if pairs.is_refusal(t)] == []
+    assert not pairs.is_refusal("Why did the crew say that it cannot make a request?")
+
+
+def labelled(spark):
+    """Texts of four languages, as many as a small test needs."""
+    lines = {
+        "en": "The boat left the harbour in the morning and towed a net behind it. What did the crew find in the samples that were taken near the bay? How fast do the fibres sink, and who counted them at which time?",
+        "ko": "배는 아침에 항구를 떠나 그물을 끌었다. 선원들은 만 근처에서 채취한 시료에서 무엇을 찾았나요? 자료집에는 몇 개의 정점이 실려 있나요?",
+        "es": "El barco salió del puerto por la mañana y arrastró una red. ¿Qué encontró la tripulación en las muestras que se tomaron cerca de la bahía? ¿Cómo se contaron y quién las tomó?",
+        "zh": "船在早上离开港口，拖着一张网。船员在海湾附近采集的样品中发现了什么？谁在什么时候数了它们？",
+    }
+    return spark.createDataFrame([(k, v) for k, v in lines.items()] * 3 + [(None, "x"), ("en", None), ("en", " ")], "lang string, text string")
+
+
 def test_broken_pairs(spark):
     doc = "The boat left Alva Bay at 6.13 a.m. and towed a net. Mussels at Orn Point carried fibres."
     good = [f"How fast do {w} fibres sink?" for w in ("nylon", "acrylic", "rope", "laundry")] + ["At what time did the boat leave Alva Bay?"]
@@ -159,7 +185,7 @@ def test_broken_pairs(spark):
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "state_id long, document string, queries array<string>, defect string")
     got = {}
-    for r in pairs.broken_pairs(df).collect():
+    for r in pairs.broken_pairs(df, labelled(spark)).collect():
         got.setdefault(r["state_id"], {})[r["query_pos"]] = r["defect"]
     assert got.get(1) is None and got[2] == got[3] == {-1: "empty"}
     assert got[4] == dict.fromkeys(range(6), "empty")
@@ -168,7 +194,26 @@ def test_broken_pairs(spark):
     assert got[7] == {0: "other_language", 1: "other_language"}
     assert got[8] == {0: "truncated", 1: "truncated", 3: "truncated"}
     assert got[9] == {1: "empty"} and 10 not in got
-    assert pairs.broken_pairs(df.limit(0)).collect() == []
+    assert pairs.broken_pairs(df.limit(0), labelled(spark)).collect() == []
+    # without a label no language is another one
+    assert {r["defect"] for r in pairs.broken_pairs(df, labelled(spark).limit(0)).collect()} == {"empty", "refusal", "copy", "truncated"}
+
+
+def test_copies_are_aligned():
+    doc = "Mussels at Orn Point carried fibres. The boat left Alva Bay at 6.13 a.m. and towed a net.\n\nIt rained."
+    tight = "\x00".join(pairs.squash(p) for p in doc.split("\n\n"))
+    own = lambda t: pairs.squash(pairs.END_MARK.sub("", t))
+    copies = ["Mussels at Orn Point carried fibres", "THE BOAT left Alva Bay at 6.13 a.m. and towed a net!", "It rained", doc, "Mussels at Orn Point carried fibers"]
+    others = ["Mussels at Orn Point", "The boat left Alva Bay", "carried fibres", "It snowed", "Did mussels at Orn Point carry fibres?"]
+    texts = [own(t) for t in copies[:4] + others]
+    share = pairs.contained(texts, ["", tight], np.ones(len(texts), np.int64))
+    for t, x in zip(texts, share):
+        grams = [t[k : k + 5] for k in range(max(1, len(t) - 4))]
+        assert x == pytest.approx(sum(g in tight for g in grams) / len(grams))
+    assert [t for t in copies if not pairs.is_aligned_copy(own(t), tight)] == []
+    assert [t for t in others if pairs.is_aligned_copy(own(t), tight)] == []
+    # copies of a few letters count too
+    assert pairs.contained(["네", "아니"], ["네.\x00예."], np.zeros(2, np.int64)).tolist() == [1.0, 0.0]
 
 
 def test_longest_common_subsequence():
