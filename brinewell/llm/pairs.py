@@ -89,6 +89,8 @@ def _unseen():
 
 def squash(text: str) -> str:
     """Lower case without white space, invisible characters and quotation marks."""
+    if text.isascii():
+        return "".join(text.lower().replace('"', "").replace("'", "").split())
     return "".join(unicodedata.normalize("NFC", text).lower().translate(_unseen()).split())
 
 
@@ -237,15 +239,20 @@ class Languages:
         self.tables = [np.ascontiguousarray(np.log(chance[:, i]).T, np.float32) for i in range(len(LENGTHS))]
         self.common = {k: frozenset(w for w, _ in words[k].most_common(COMMON)) for k in self.names}
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Log chance of every text in every language."""
-        out = np.zeros((len(texts), len(self.names)))
+    def scores(self, texts: list[str], stretch: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log chance in every language of every text, or of every run of ``stretch`` characters; and the text of each and the characters from it to the text's end."""
+        parts = np.array([max(1, -(-(len(t) + 2) // stretch)) for t in texts], np.int64) if stretch else np.ones(len(texts), np.int64)
+        owner = np.repeat(np.arange(len(texts)), parts)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * (stretch or 0)
+        out = np.zeros((len(owner), len(self.names)))
         for n, table in zip(LENGTHS, self.tables if self.names else ()):
             g, many = _grams(texts, n)
-            some = np.flatnonzero(many)
+            begin = (np.cumsum(many) - many)[owner] + np.minimum(place, many[owner])
+            end = np.append(begin[1:], len(g)) if len(begin) else begin
+            some = np.flatnonzero(end > begin)
             if len(some):
-                out[some] += np.add.reduceat(table[g].astype(np.float64), (np.cumsum(many) - many)[some], axis=0)
-        return out
+                out[some] += np.add.reduceat(table[g], begin[some], axis=0)
+        return out, owner, np.array([len(t) for t in texts], np.int64)[owner] - place
 
     @staticmethod
     def fit(labelled: DataFrame, lang: str, text: str) -> "Languages":
@@ -273,16 +280,13 @@ STRETCH, OWN_SHARE, MARGIN = 60, 0.1, 0.15
 
 def languages_of(model: Languages, docs: list[str]) -> np.ndarray:
     """For every document and language, whether the language is the document's own."""
-    stretches, owner = [], []
-    for i, d in enumerate(docs):
-        parts = [d[k : k + STRETCH] for k in range(0, len(d), STRETCH)]
-        stretches += parts
-        owner += [i] * len(parts)
     own = np.zeros((len(docs), len(model.names)))
-    if stretches and model.names:
-        best = model.scores(stretches).argmax(1)
-        np.add.at(own, (np.array(owner), best), [len(x) for x in stretches])
-    return own >= OWN_SHARE * np.maximum(own.sum(1, keepdims=True), 1)
+    if docs and model.names:
+        score, owner, rest = model.scores(docs, STRETCH)
+        # a run of nothing speaks for no language
+        told = (np.ptp(score, axis=1) > 0) & (rest > 0)
+        np.add.at(own, (owner[told], score[told].argmax(1)), np.minimum(rest, STRETCH)[told])
+    return (own > 0) & (own >= OWN_SHARE * own.sum(1, keepdims=True))
 
 
 # -- completeness ---------------------------------------------------------------------------------
@@ -366,7 +370,7 @@ def _judge(model: Languages):
                 tight = ["\x00".join(squash(p) for p in re.split(r"\n\s*\n", d) if p.strip()) for d in docs]
                 own = [squash(END_MARK.sub("", b)) for _, _, b in left]
                 near = contained(own, tight, of) >= CONTAINED
-                own_languages, score = languages_of(model, docs), model.scores([b for _, _, b in left])
+                own_languages, score = languages_of(model, docs), model.scores([b for _, _, b in left])[0]
                 words, seen = set(), -1
                 for k, (i, pos, body) in enumerate(left):
                     if near[k] and is_aligned_copy(own[k], tight[i]):
