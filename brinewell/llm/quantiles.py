@@ -1,7 +1,7 @@
 """Percentiles of very large numeric columns: dyadic Count-sketches.
 
-A value becomes a 32-bit key in numeric order (its single-precision bits, so a
-key's step is at most 2**-23 of the value).  For every binary resolution of the
+A value becomes a 64-bit key in numeric order (its bits, so nothing is rounded).
+For every binary resolution of the
 key there is one table of signed counters; coarse resolutions with no more
 prefixes than a table is wide are counted exactly.  Tables add up, so sketches of
 partitions, days or files merge by addition, and a row of weight -1 takes a value
@@ -12,7 +12,8 @@ Error: the count of a prefix is off by about ``sqrt(F2 / width)``, F2 being the
 sum of the squared counts that share its resolution, and the median of ``depth``
 rows makes larger errors rare; the rank error of a quantile is the sum over the
 sketched resolutions.  With the defaults it stayed below 0.5 % of the group's
-rows in the tests.
+rows in the tests.  Groups of up to ``SPARSE_KEYS`` distinct values are kept as the
+list of them, which is shorter than a sketch and exact.
 
 Defined results: null and NaN values are left out; infinities take part; null
 groups are a group of their own; a group without values has no row; repeated
@@ -28,32 +29,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 32
+BITS = 64
 DEPTH = 5
 WIDTH = 1024  # a power of two
 _EXACT = WIDTH.bit_length() - 1
+_SIGN = np.uint64(1 << 63)
 
 _MULT = np.random.default_rng(20240229).integers(1, 2**63, size=(BITS + 1, DEPTH, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def encode_values(x: np.ndarray) -> np.ndarray:
-    """Order-preserving 32-bit keys."""
-    f = np.asarray(x, np.float64).astype(np.float32)
-    f = np.where(f == 0, np.float32(0), f)  # -0.0 and 0.0 are one value
-    b = f.view(np.uint32)
-    return np.where(b >> 31, ~b, b | np.uint32(0x80000000)).astype(np.uint32)
+    """Order-preserving 64-bit keys."""
+    f = np.asarray(x, np.float64)
+    b = np.where(f == 0, 0.0, f).view(np.uint64)  # -0.0 and 0.0 are one value
+    return np.where(b >> np.uint64(63), ~b, b | _SIGN)
 
 
 def decode_keys(k: np.ndarray) -> np.ndarray:
-    k = np.asarray(k, np.uint32)
-    b = np.where(k >> 31, k & np.uint32(0x7FFFFFFF), ~k).astype(np.uint32)
-    return b.view(np.float32).astype(np.float64)
+    k = np.asarray(k, np.uint64)
+    return np.where(k >> np.uint64(63), k & ~_SIGN, ~k).view(np.float64)
 
 
 def _cells(level: int, row: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = _MULT[level, row]
     with np.errstate(over="ignore"):
-        h = prefix.astype(np.uint64) * a
+        h = np.asarray(prefix, np.uint64) * a
         h ^= h >> np.uint64(29)
         h *= b
         h ^= h >> np.uint64(32)
@@ -102,7 +102,7 @@ class Sketch:
         """Waiting keys into the tables; while they are few they stay a list."""
         if not self._held:
             return
-        if len(self._keys) == 1 and self.tables is None and self._held <= SPARSE_KEYS and (np.diff(self._keys[0].astype(np.int64)) > 0).all():
+        if len(self._keys) == 1 and self.tables is None and self._held <= SPARSE_KEYS and (self._keys[0][1:] > self._keys[0][:-1]).all():
             return
         keys, w = _condense(np.concatenate(self._keys), np.concatenate(self._weights))
         if self.tables is None and len(keys) <= SPARSE_KEYS:
@@ -120,7 +120,7 @@ class Sketch:
                 for r in range(DEPTH):
                     at, sign = _cells(j, r, keys)
                     table[r] += np.bincount(at, weights=w * sign, minlength=WIDTH).astype(np.int64)
-            keys = keys >> np.uint32(1)
+            keys = keys >> np.uint64(1)
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             if len(new) < len(keys):
                 w = np.add.reduceat(w, new)
@@ -140,7 +140,7 @@ class Sketch:
         t = self.tables[level]
         if level <= _EXACT:
             return int(t[prefix])
-        p = np.array([prefix])
+        p = np.array([prefix], np.uint64)
         got = [int(t[r][at[0]] * s[0]) for r in range(DEPTH) for at, s in [_cells(level, r, p)]]
         return sorted(got)[DEPTH // 2]
 
@@ -161,7 +161,7 @@ class Sketch:
                 prefix, mass = 2 * prefix, left
             else:
                 rank, prefix, mass = rank - left, 2 * prefix + 1, mass - left
-        return float(decode_keys(np.array([prefix], np.uint32))[0])
+        return float(decode_keys(np.array([prefix], np.uint64))[0])
 
     def to_bytes(self) -> bytes:
         """Kind, then the keys and weights of a short list, or the compressed tables."""
@@ -178,7 +178,7 @@ class Sketch:
             rec = np.frombuffer(data[1:], _RECORD)
             out = Sketch(total)
             if len(rec):
-                out._keys, out._weights, out._held = [rec["k"].astype(np.uint32)], [rec["w"].astype(np.int64)], len(rec)
+                out._keys, out._weights, out._held = [rec["k"].astype(np.uint64)], [rec["w"].astype(np.int64)], len(rec)
             return out
         flat = np.frombuffer(zlib.decompress(data[1:]), np.int32 if data[0] == 4 else np.int64).astype(np.int64)
         tables, at = {}, 0
@@ -190,7 +190,7 @@ class Sketch:
         return Sketch(total, tables)
 
 
-_RECORD = np.dtype([("k", "<u4"), ("w", "<i8")])
+_RECORD = np.dtype([("k", "<u8"), ("w", "<i8")])
 
 
 def sparse_bytes(keys: np.ndarray, weights: np.ndarray) -> bytes:
@@ -250,72 +250,83 @@ def _by_group(batches: list, groups: list[str]):
     yield pa.RecordBatch.from_arrays([*cols, pa.array(np.add.reduceat(w, start), pa.int64()), pa.array(sketches, pa.binary())], names=[*groups, "n", "sketch"])
 
 
-def merge_sketches(sketches: DataFrame, groups: list[str], fan: int = 16) -> DataFrame:
-    """One sketch per group, by addition in two rounds: ``fan`` salted parts, then those parts.
+#: Bytes of sketches written at a time.
+BYTES_OUT = 16_000_000
 
-    Sketches stream through a task, which holds one running sum per group; short
-    lists are summed together, all groups at once.
-    """
-    kinds = dict(sketches.dtypes)
-    ddl = ", ".join(f"`{g}` {kinds[g]}" for g in groups) + ", n long, sketch binary"
 
-    def run(batches):
-        schema, number, dense = None, {}, {}
-        codes, recs, held = [], [], 0
-
-        def condense():
-            code, rec = np.concatenate(codes), np.concatenate(recs)
-            order = np.lexsort((rec["k"], code))
-            code, rec = code[order], rec[order]
-            new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (rec["k"][1:] != rec["k"][:-1])]))
-            w = np.add.reduceat(rec["w"], new)
-            code, rec = code[new], rec[new]
-            rec["w"] = w
-            keep = w != 0
-            return code[keep], rec[keep]
+def merge_runs(batches, groups: list[str]):
+    """One sketch per run of equal groups; rows come sorted by group, and one unfinished group is held at a time.
 
-        for batch in batches:
-            schema = batch.schema
-            keys = list(zip(*(batch.column(g).to_pylist() for g in groups)))
-            datas = batch.column("sketch").to_pylist()
-            at = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, len(keys))
-            for i, (n, data) in enumerate(zip(batch.column("n").to_pylist(), datas)):
-                if data[0] != 1:
-                    s = Sketch.from_bytes(data, n)
-                    dense[at[i]] = dense[at[i]].merge(s) if at[i] in dense else s
-            short = [i for i, data in enumerate(datas) if data[0] == 1]
-            rec = np.frombuffer(b"".join(datas[i][1:] for i in short), _RECORD)
-            codes.append(np.repeat(at[short], [(len(datas[i]) - 1) // _RECORD.itemsize for i in short]) if short else np.zeros(0, np.int64))
-            recs.append(rec)
-            held += len(rec)
-            if held >= 4 * ROWS_IN_MEMORY:
-                code, rec = condense()
-                codes, recs, held = [code], [rec], 0
-        if schema is None or not number:
-            return
-        code, rec = condense() if sum(map(len, recs)) else (np.zeros(0, np.int64), np.zeros(0, _RECORD))
-        ends = np.searchsorted(code, np.arange(len(number) + 1))
-        names, out_n, out_s = [], [], []
-        for key, i in number.items():
-            part = rec[ends[i] : ends[i + 1]]
-            if i in dense or len(part) > SPARSE_KEYS:
-                s = dense.get(i, Sketch()).add_keys(part["k"].astype(np.uint32), part["w"].astype(np.int64))
-                out_n.append(s.total)
-                out_s.append(s.to_bytes())
+    Short lists of a batch are summed together, tables one group after another.
+    """
+    schema, last, held = None, None, None  # the group of the open run, and its sum so far
+    out, size = ([], [], []), 0
+
+    def flush():
+        cols = [pa.array([key[i] for key in out[0]], schema.field(g).type) for i, g in enumerate(groups)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=[*groups, "n", "sketch"])
+
+    for batch in batches:
+        schema = batch.schema
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(g).to_pylist() for g in groups))) if groups else [()] * batch.num_rows
+        datas, ns = batch.column("sketch").to_pylist(), batch.column("n").to_pylist()
+        if held is not None:
+            keys.insert(0, last)
+            datas.insert(0, held[1])
+            ns.insert(0, held[0])
+        run = np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:]))])
+        short = np.array([d[0] == 1 for d in datas])
+        rec = np.frombuffer(b"".join(d[1:] for d, x in zip(datas, short) if x), _RECORD)
+        code = np.repeat(run[short], [(len(d) - 1) // _RECORD.itemsize for d, x in zip(datas, short) if x])
+        order = np.lexsort((rec["k"], code))
+        code, k, w = code[order], rec["k"][order], rec["w"][order]
+        new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (k[1:] != k[:-1])])) if len(code) else np.zeros(0, np.int64)
+        code, k, w = code[new], k[new], np.add.reduceat(w, new) if len(new) else w
+        code, k, w = code[w != 0], k[w != 0], w[w != 0]
+        ends = np.searchsorted(code, np.arange(run[-1] + 2))
+        first = np.searchsorted(run, np.arange(run[-1] + 2))
+        for r in range(run[-1] + 1):
+            part = slice(ends[r], ends[r + 1])
+            tables = [i for i in range(first[r], first[r + 1]) if not short[i]]
+            if tables or part.stop - part.start > SPARSE_KEYS:
+                s = Sketch().add_keys(k[part].astype(np.uint64), w[part])
+                for i in tables:
+                    s.merge(Sketch.from_bytes(datas[i], ns[i]))
+                n, data = s.total, s.to_bytes()
+            else:
+                n, data = int(w[part].sum()), sparse_bytes(k[part], w[part])
+            if r == run[-1]:
+                last, held = keys[-1], (n, data)
             else:
-                out_n.append(int(part["w"].sum()))
-                out_s.append(b"\x01" + part.tobytes())
-            names.append(key)
-        for k in range(0, len(names), 4096):
-            cols = [pa.array([key[i] for key in names[k : k + 4096]], schema.field(g).type) for i, g in enumerate(groups)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out_n[k : k + 4096], pa.int64()), pa.array(out_s[k : k + 4096], pa.binary())], names=[*groups, "n", "sketch"])
+                for o, v in zip(out, (keys[first[r]], n, data)):
+                    o.append(v)
+                size += len(data)
+                if size >= BYTES_OUT:
+                    yield flush()
+                    out, size = ([], [], []), 0
+    if held is not None:
+        for o, v in zip(out, (last, *held)):
+            o.append(v)
+    if out[0]:
+        yield flush()
+
+
+def merge_sketches(sketches: DataFrame, groups: list[str], fan: int = 16) -> DataFrame:
+    """One sketch per group, by addition in two rounds: ``fan`` salted parts, then those parts.
 
+    Rows are sorted by group, so a task holds one sum at a time.
+    """
+    kinds = dict(sketches.dtypes)
+    ddl = "".join(f"`{g}` {kinds[g]}, " for g in groups) + "n long, sketch binary"
     columns = [*groups, "n", "sketch"]
     # a stated number keeps small sketches, whose cost is CPU rather than bytes, spread over the tasks
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = sketches.select(*columns).withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(fan)))
-    first = salted.repartition(parts, *groups, "_salt").drop("_salt").mapInArrow(run, ddl)
-    return first.repartition(parts, *groups).mapInArrow(run, ddl)
+    run = lambda batches: merge_runs(batches, groups)
+    first = salted.repartition(parts, *groups, "_salt").sortWithinPartitions(*groups).drop("_salt").mapInArrow(run, ddl)
+    return first.repartition(parts, *groups).sortWithinPartitions(*groups).mapInArrow(run, ddl) if groups else first.repartition(1).mapInArrow(run, ddl)
 
 
 def sketch_quantiles(sketches: DataFrame, groups: list[str], points: list[float]) -> DataFrame:

@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     # texts within the limit are whole pieces already; only the rest needs the splitter
     docs = _table(spark, folder, "documents_json").where(F.length("content") > CHUNK_LIMIT)
     cut = pieces.split_oversized(docs, "seq_num", "content", limit=CHUNK_LIMIT, overlap=CHUNK_OVERLAP)
-    forced = F.exists("pieces", lambda p: p["forced"]) & (F.col("longest_stretch") > CHUNK_LIMIT)
+    forced = F.exists("pieces", lambda p: p["forced"])
     return cut.select("seq_num", F.when(forced, "forced").otherwise("natural").alias("cut"))
 
 
@@ -35,15 +35,15 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of every day of loading, and of all days (``loaded_on`` null), per ocean.
+    """Percentiles of every day of loading (``scope`` 'day', a null day being one of them) and of all days ('all'), per ocean.
 
     The days' sketches are built once; the whole is their sum, no reading is read again.
     """
-    readings = _table(spark, folder, "observations").select("oceans", F.coalesce(F.to_date("loaded_at"), F.lit("0001-01-01").cast("date")).alias("loaded_on"), "measurement")
+    readings = _table(spark, folder, "observations").select("oceans", F.to_date("loaded_at").alias("loaded_on"), "measurement")
     days = spill_table(quantiles.merge_sketches(quantiles.build_sketches(readings, ["oceans", "loaded_on"], "measurement"), ["oceans", "loaded_on"]), "days")
     whole = quantiles.merge_sketches(days.select("oceans", "n", "sketch"), ["oceans"])
-    total = quantiles.sketch_quantiles(whole, ["oceans"], PERCENTILES).select("oceans", F.lit(None).cast("date").alias("loaded_on"), "n", "q", "value")
-    return quantiles.sketch_quantiles(days, ["oceans", "loaded_on"], PERCENTILES).unionByName(total)
+    total = quantiles.sketch_quantiles(whole, ["oceans"], PERCENTILES).select(F.lit("all").alias("scope"), "oceans", F.lit(None).cast("date").alias("loaded_on"), "n", "q", "value")
+    return quantiles.sketch_quantiles(days, ["oceans", "loaded_on"], PERCENTILES).withColumn("scope", F.lit("day")).unionByName(total)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

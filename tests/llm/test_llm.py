@@ -98,8 +98,7 @@ def test_piece_edges(spark):
 
 
 def rank_error(x, q, v):
-    x = np.sort(x.astype(np.float32))
-    v = np.float32(v)
+    x = np.sort(x)
     return max(0.0, np.searchsorted(x, v, "left") / len(x) - q, q - np.searchsorted(x, v, "right") / len(x))
 
 
@@ -120,10 +119,36 @@ def test_sketch_error_merge_and_deletion():
 
 
 def test_key_order():
-    x = np.array([-np.inf, -5.0, -1e-30, -0.0, 0.0, 1e-30, 2.5, np.inf])
+    x = np.array([-np.inf, -1e300, -5.0, -1e-60, -0.0, 0.0, 1e-60, 2.5, 2.5 + 2**-50, 4e38, 1e300, np.inf])
     k = quantiles.encode_values(x)
-    assert (np.diff(k.astype(np.int64)) >= 0).all() and k[3] == k[4]
-    assert (quantiles.decode_keys(k) == np.where(x == 0, 0, x.astype(np.float32))).all()
+    assert (k[1:] >= k[:-1]).all() and k[4] == k[5] and len(set(k.tolist())) == len(x) - 1
+    assert (quantiles.decode_keys(k) == x).all()
+
+
+def test_merging_holds_one_group_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    one = quantiles.Sketch().add(r.normal(0, 1, 3000))
+    assert one.tables is not None or not one._settle()
+    data = one.to_bytes()
+    dense = sum(t.nbytes for t in one.tables.values())
+    rows = 600
+
+    def batches():
+        for k in range(0, rows, 20):
+            yield pa.RecordBatch.from_arrays([pa.array([x // 2 for x in range(k, k + 20)]), pa.array([3000] * 20), pa.array([data] * 20, pa.binary())], names=["g", "n", "sketch"])
+
+    tracemalloc.start()
+    n = 0
+    for b in quantiles.merge_runs(batches(), ["g"]):
+        assert b.column("n").to_pylist() == [6000] * b.num_rows
+        n += b.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300 and peak < 300 * dense / 4
 
 
 def test_group_quantiles(spark):
