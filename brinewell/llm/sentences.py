@@ -56,15 +56,8 @@ PLAIN_DOT = (
     rf"|(?<=(?:^|{BREAK})[\s(]{{0,8}}\p{{N}}{{1,3}}\.)"  # the mark of a list item
     r"))"
 )
-URL_MARK = r"[.!?](?<=(?:https?://|www\.)\S{0,300})(?=[^\s”’\"»」』）)\]])"
-
-_MARK = r"[.!?。！？।]"
-_REACH = 600
-#: Marks inside quotations whose two signs differ: the next sign is a closing one.
-PAIRED = rf"{_MARK}(?=[^“”«»「」『』{BREAK}]{{0,{_REACH}}}+[”»」』])"
-GERMAN = rf"{_MARK}(?<=„[^“„{BREAK}]{{0,{_REACH}}})(?=[^„“{BREAK}]{{0,{_REACH}}}+“)"
-#: Straight quotations: the next sign follows a printing character, so it closes.
-STRAIGHT = rf"{_MARK}(?=[^\"{BREAK}]{{0,{_REACH}}}+(?<=[^\s{BREAK}])\")(?<=\"[^\"{BREAK}]{{0,{_REACH}}})"
+MARKS = ".!?。！？।"
+_URL = r"(?:https?://|www\.)"
 
 _CLOSE = r"[”’\"»」』）)\]]"
 _OTHER = HAN + KANA + HANGUL + THAI + DEVANAGARI
@@ -102,16 +95,40 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _pieces(text: Column, start: str, masked) -> Column:
+    """``text`` cut before every match of ``start``; ``masked(piece, next piece)`` tells what becomes of each. Linear in the text."""
+    return _let(F.split(text, rf"(?={start})", -1), lambda p: F.array_join(F.transform(p, lambda s, i: masked(s, F.get(p, i + 1))), ""))
+
+
+def _quoted(text: Column, signs: str, inside) -> Column:
+    """Marks masked in pieces between two signs that ``inside(piece, next piece)`` says are a quotation, however long it is."""
+    return _pieces(text, f"[{signs}{BREAK}]", lambda s, after: F.when(inside(s, after), F.translate(s, MARKS, QUOTED * len(MARKS))).otherwise(s))
+
+
+def _first(piece: Column, signs: str) -> Column:
+    return F.substring(piece, 1, 1).isin(*signs)
+
+
+def _url_masked(piece: Column) -> Column:
+    """The marks of the URL that a piece begins with, but for one that ends it."""
+    url = F.regexp_extract(piece, rf"^{_URL}\S*", 0)
+    body = F.length(F.regexp_replace(url, rf"[.!?]{_CLOSE}*$", ""))
+    return F.concat(F.translate(F.substring(piece, F.lit(1), body), ".!?", DOT * 3), F.substring(piece, body + 1, F.length(piece)))
+
+
 def working_copy(text: Column) -> Column:
     """``text`` with masked marks; the same number of code points."""
     t = F.translate(text, SPACES + DOT + QUOTED + BREAK, " " * len(SPACES) + OTHER * 3)
     t = F.regexp_replace(t, r"\n(?= *\n)", BREAK)
     t = F.translate(t, "\n", " ")
-    t = _let(t, lambda x: F.when(x.contains("://") | x.contains("www."), F.regexp_replace(x, URL_MARK, DOT)).otherwise(x))
+    t = _let(t, lambda x: F.when(x.contains("://") | x.contains("www."), _pieces(x, _URL, lambda s, _: F.when(s.rlike(rf"^{_URL}"), _url_masked(s)).otherwise(s))).otherwise(x))
     t = F.regexp_replace(t, PLAIN_DOT, DOT)
-    t = _let(t, lambda x: F.when(x.contains("„"), F.regexp_replace(x, GERMAN, QUOTED)).otherwise(x))
-    t = _let(t, lambda x: F.when(x.contains("”") | x.contains("»") | x.contains("」") | x.contains("』"), F.regexp_replace(x, PAIRED, QUOTED)).otherwise(x))
-    return _let(t, lambda x: F.when(x.contains('"'), F.regexp_replace(x, STRAIGHT, QUOTED)).otherwise(x))
+    # German quotations: from a low sign to the next high one
+    t = _let(t, lambda x: F.when(x.contains("„"), _quoted(x, "“„", lambda s, after: _first(s, "„") & _first(after, "“"))).otherwise(x))
+    # quotations whose two signs differ: the next sign is a closing one
+    t = _let(t, lambda x: F.when(x.contains("”") | x.contains("»") | x.contains("」") | x.contains("』"), _quoted(x, "“”«»「」『』", lambda s, after: _first(after, "”»」』"))).otherwise(x))
+    # straight quotations: the next sign follows a printing character, so it closes
+    return _let(t, lambda x: F.when(x.contains('"'), _quoted(x, '"', lambda s, after: _first(s, '"') & _first(after, '"') & ~s.endswith(" ") & (F.length(s) > 1))).otherwise(x))
 
 
 _BLOCK = 256

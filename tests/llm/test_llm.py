@@ -44,6 +44,16 @@ def test_sentences(spark):
         assert got[i] == want
 
 
+def test_long_quotations_and_urls(spark):
+    inner = "Nobody did. It was so! Was it? " * 60
+    texts = []
+    for a, b in (("“", "”"), ("«", "»"), ("„", "“"), ('"', '"')):
+        texts.append(f"{a}{inner.strip()}{b}, said the man. It rained.")
+    texts += [f"他说：“{'没有。真的！' * 300}”第二句。", f"担当者は「{'まさか。' * 400}」と述べた。次の文。", "See https://a.example/" + "x.y/" * 200 + "end. It rained."]
+    got = {r["doc_id"]: r["n"] for r in sentences.sentence_units(docs(spark, list(enumerate(texts))), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == dict.fromkeys(range(len(texts)), 2)
+
+
 def test_sentence_edges(spark):
     df = docs(spark, [(1, None), (2, ""), (3, " \n\n\t "), (4, LONG + ". 😀 End."), (5, "Twice."), (5, "Twice.")])
     got = sorted(map(tuple, sentences.sentence_units(df, "doc_id", "text").collect()))
