@@ -5,7 +5,8 @@
 compared on SI bases, so a common unit is only another text to read.
 
 ``unit_shifts`` segments each source's history by exact penalised changepoint
-search (PELT) on log values and reports level shifts that match a known factor.
+search (PELT) on log values and matches level shifts with known factors;
+``reversed_values`` takes the matched ones back.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_rows, spill_table
@@ -188,44 +189,61 @@ def to_common_units(
 # -- changepoints ---------------------------------------------------------------------------------
 
 
-def pelt(x: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:
-    """Ends of the optimal segments for squared error plus ``penalty`` per segment (exact, pruned)."""
-    n = len(x)
-    if n == 0:
+def optimal_cuts(n: np.ndarray, total: np.ndarray, squares: np.ndarray, penalty: float, min_size: int = 1) -> list[int]:
+    """Ends of the optimal segments of a series of pieces (rows, sum, sum of squares of each), for squared
+    error plus ``penalty`` per segment; a segment has at least ``min_size`` rows. Exact: candidates are pruned
+    only when no later end can make them best."""
+    k = len(n)
+    if not k:
         return []
-    s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    c, s, q = (np.concatenate([[0.0], np.cumsum(v)]) for v in (n, total, squares))
+    best, last = np.full(k + 1, np.inf), np.zeros(k + 1, np.int64)
     best[0] = -penalty
     starts = np.array([0])
-    for t in range(min_size, n + 1):
-        ok = starts[starts <= t - min_size]
-        if not len(ok):
-            continue
-        m = t - ok
-        cost = q[t] - q[ok] - (s[t] - s[ok]) ** 2 / m
-        total = best[ok] + cost + penalty
-        i = int(np.argmin(total))
-        best[t], last[t] = total[i], ok[i]
-        keep = np.concatenate([ok[best[ok] + cost <= best[t]], starts[starts > t - min_size]])
-        starts = np.concatenate([keep, [t]])
-    if not np.isfinite(best[n]):
-        return [n]
-    ends, t = [], n
+    for t in range(1, k + 1):
+        long = c[t] - c[starts] >= min_size
+        ok = starts[long]
+        if len(ok):
+            cost = q[t] - q[ok] - (s[t] - s[ok]) ** 2 / (c[t] - c[ok])
+            total_cost = best[ok] + cost + penalty
+            i = int(np.argmin(total_cost))
+            best[t], last[t] = total_cost[i], ok[i]
+            if np.isfinite(best[t]):
+                ok = ok[best[ok] + cost <= best[t]]
+        starts = np.concatenate([ok, starts[~long], [t]]) if np.isfinite(best[t]) else np.concatenate([ok, starts[~long]])
+    if not np.isfinite(best[k]):
+        return [k]
+    ends, t = [], k
     while t > 0:
         ends.append(t)
         t = int(last[t])
     return ends[::-1]
 
 
-def match_factor(shift: float, tolerance: float) -> float | None:
-    """Signed known factor whose log lies within ``tolerance`` of a level shift, or None."""
-    for f in KNOWN_FACTORS:
-        if abs(abs(shift) - math.log(f)) <= tolerance:
-            return f if shift > 0 else 1 / f
-    return None
+def pelt(x: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:
+    """Ends of the optimal segments of single values."""
+    return optimal_cuts(np.ones(len(x)), x, x * x, penalty, min_size)
+
+
+PIECE_DDL = "source string, start long, stop long, n double, total double, squares double, first_key long, last_key long, scale double"
+SHIFT_DDL = "source string, segment int, start long, stop long, first_key long, last_key long, n long, level double, shift double, tolerance double, factor double, offset double"
+
 
+def _ranked(history: DataFrame, source: str, order: list[str], key: str, value: str) -> DataFrame:
+    """(source, _k, _x, _rank): log values with their place in the source's history.
 
-SHIFT_DDL = "source string, block long, segment int, first_key long, last_key long, n long, level double, shift double, factor double"
+    Places come from a range sort, counts per partition and offsets: no task holds a source.
+    """
+    rows = history.where((F.col(value) > 0) & ~F.isnan(value) & (F.col(value) < float("inf"))).select(
+        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.struct(*[F.col(c) for c in order], F.col(key)).alias("_o"), F.col(key).cast("long").alias("_k"), F.ln(value).alias("_x")
+    )
+    # written once, since counts and places must see the same partitions
+    ranged = spill_table(rows.repartitionByRange("source", "_o").withColumn("_p", F.spark_partition_id()), "history")
+    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p", "source").orderBy("_o")))
+    counts = ranged.groupBy("_p", "source").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_bp"), F.col("source").alias("_bs"), "_before")
+    placed = local.join(before, (F.col("_p") == F.col("_bp")) & (F.col("source") == F.col("_bs")))
+    return spill_table(placed.select("source", "_k", "_x", (F.col("_i") + F.col("_before") - 1).alias("_rank")), "places")
 
 
 def unit_shifts(
@@ -235,52 +253,93 @@ def unit_shifts(
     key: str,
     value: str,
     *,
-    penalty: float = 12.0,
-    tolerance: float = 0.35,
+    penalty: float = 20.0,
+    errors: float = 4.0,
+    widest: float = 0.35,
     block_rows: int = 4096,
     min_size: int = 5,
 ) -> DataFrame:
-    """Segments of each source's history with the level shift into each and the unit factor it matches.
-
-    Histories are cut into blocks of at most ``block_rows`` consecutive rows
-    (a range sort and running counts, no task ever holds a whole source), each
-    block is segmented exactly, and the shift at a block's start is taken
-    against the previous block's last segment.  Values that are null, NaN or not
+    """Segments of each source's history, with the level shift into each and the unit factor that it matches.
+
+    Blocks of ``block_rows`` consecutive rows are segmented exactly, once from the
+    start and once half a block on, all with one noise scale a source; the places
+    found and the block edges are the candidates among which the whole history is
+    then segmented, again exactly, so an edge where nothing changes is no cut.
+    What a task holds of a source are its pieces between candidates, about one for
+    2,000 rows.  A shift matches a known factor if it is within ``errors`` standard
+    errors of the two levels' difference, and within ``widest`` in any case (known
+    factors are further apart than twice that).  Values that are null, NaN or not
     positive have no log and are left out; null sources form one history.
-    Output: source, block, segment, first_key, last_key, n, level (mean log),
-    shift (null for the first), factor (null when no known factor matches).
-    """
-    from pyspark.sql import Window
 
-    rows = history.where((F.col(value) > 0) & ~F.isnan(value) & (F.col(value) < float("inf"))).select(
-        F.col(source).cast("string").alias("source"), F.struct(*[F.col(c) for c in order], F.col(key)).alias("_o"), F.col(key).cast("long").alias("_k"), F.ln(value).alias("_x")
-    )
-    # Rank within a source without one task per source: partition id of a range sort, counts per (partition, source), then offsets.
-    # Written once, since the ranks below read it twice and must see the same partitions.
-    ranged = spill_table(rows.repartitionByRange(F.coalesce("source", F.lit("")), "_o").withColumn("_p", F.spark_partition_id()), "history")
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p", "source").orderBy("_o")))
-    counts = local.groupBy("_p", "source").agg(F.max("_i").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_p").alias("_bp"), F.col("source").alias("_bs"), "_before")
-    ranked = local.join(before, (F.col("_p") == F.col("_bp")) & F.col("source").eqNullSafe(F.col("_bs"))).select(
-        "source", "_o", "_k", "_x", F.floor((F.col("_i") + F.col("_before") - 1) / block_rows).alias("_b")
-    )
-
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r", kind="stable")
-        x, keys = pdf["_x"].to_numpy(), pdf["_k"].to_numpy()
-        spread = 1.4826 * np.median(np.abs(np.diff(x) - np.median(np.diff(x)))) / math.sqrt(2) if len(x) > 2 else 1.0
-        scale = spread if spread > 1e-9 else 1.0
-        out, start, level = [], 0, None
-        for k, end in enumerate(pelt(x / scale, penalty, min_size)):
-            now = float(x[start:end].mean())
-            out.append((pdf["source"].iloc[0], int(pdf["_b"].iloc[0]), k, int(keys[start]), int(keys[end - 1]), end - start, now, None if level is None else now - level, None))
-            start, level = end, now
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SHIFT_DDL.split(", ")])
-
-    numbered = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_b").orderBy("_o"))).drop("_o")
-    cut = numbered.groupBy("source", "_b").applyInPandas(segment, SHIFT_DDL)
-    w = Window.partitionBy("source").orderBy("block", "segment")
-    shift = F.col("level") - F.lag("level").over(w)
-    logs = [math.log(f) for f in KNOWN_FACTORS]
-    ratio = F.coalesce(*[F.when(F.abs(F.abs(F.col("shift")) - F.lit(g)) <= tolerance, F.when(F.col("shift") > 0, F.lit(f)).otherwise(F.lit(1 / f))) for g, f in zip(logs, KNOWN_FACTORS)])
-    return cut.withColumn("shift", shift).withColumn("factor", ratio)
+    Output: source, segment, start and stop (places in the history), first_key,
+    last_key, n, level (mean log), shift (null for the first), tolerance, factor
+    (null when no known factor matches), offset (sum of the matched shifts so far).
+    """
+    return _shifts(_ranked(history, source, order, key, value), penalty, errors, widest, block_rows, min_size)
+
+
+def _shifts(ranked: DataFrame, penalty: float, errors: float, widest: float, block_rows: int, min_size: int) -> DataFrame:
+    half = block_rows // 2
+    block = F.floor(F.col("_rank") / block_rows)
+    # noise: median absolute step between neighbours of a block
+    steps = ranked.withColumn("_d", F.abs(F.col("_x") - F.lag("_x").over(Window.partitionBy("source", block).orderBy("_rank"))))
+    scales = steps.groupBy("source").agg((F.percentile_approx("_d", 0.5, 1000) * (1.4826 / math.sqrt(2))).alias("scale")).select(F.col("source").alias("_ss"), F.when(F.col("scale") > 1e-9, F.col("scale")).otherwise(1.0).alias("scale"))
+    scaled = ranked.join(scales, F.col("source") == F.col("_ss")).drop("_ss")
+
+    def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rank", kind="stable")
+        x, rank = pdf["_x"].to_numpy() / pdf["scale"].iloc[0], pdf["_rank"].to_numpy()
+        ends = pelt(x, penalty, min_size)
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "at": rank[[0, *ends[:-1]]] if ends else rank[:0]})
+
+    found = None
+    for shift in (0, half):
+        one = scaled.withColumn("_b", F.floor((F.col("_rank") + shift) / block_rows)).groupBy("source", "_b").applyInPandas(cuts, "source string, at long")
+        found = one if found is None else found.unionByName(one)
+    # edges of half blocks are candidates too, so that a piece lies in one half block
+    candidates = spill_table(found.withColumn("_h", F.floor(F.col("at") / half)).groupBy("source", "_h").agg(F.sort_array(F.collect_set("at")).alias("_c")), "cuts").select(F.col("source").alias("_cs"), F.col("_h").alias("_ch"), "_c")
+    inside = scaled.withColumn("_h", F.floor(F.col("_rank") / half)).join(candidates, (F.col("source") == F.col("_cs")) & (F.col("_h") == F.col("_ch")), "left")
+    piece = F.coalesce(F.array_max(F.filter("_c", lambda c: c <= F.col("_rank"))), F.col("_h") * half)
+    pieces = (
+        inside.withColumn("_at", piece).groupBy("source", "_at")
+        .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_x").alias("total"), F.sum(F.col("_x") * F.col("_x")).alias("squares"), F.min_by("_k", "_rank").alias("first_key"), F.max_by("_k", "_rank").alias("last_key"), F.max("_rank").alias("stop"), F.first("scale").alias("scale"))
+        .select("source", F.col("_at").alias("start"), "stop", "n", "total", "squares", "first_key", "last_key", "scale")
+    )
+    logs = np.log(KNOWN_FACTORS)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start", kind="stable")
+        scale = float(pdf["scale"].iloc[0])
+        n, total, squares = (pdf[c].to_numpy(float) for c in ("n", "total", "squares"))
+        mean = total.sum() / n.sum()  # sums about the mean keep their digits
+        t, q = (total - n * mean) / scale, (squares - 2 * mean * total + n * mean * mean) / scale**2
+        out, begin, level, rows, offset = [], 0, None, 0, 0.0
+        for k, end in enumerate(optimal_cuts(n, t, q, penalty, min_size)):
+            m, now = float(n[begin:end].sum()), float(total[begin:end].sum() / n[begin:end].sum())
+            shift = tolerance = factor = None
+            if level is not None:
+                shift, tolerance = now - level, min(widest, errors * scale * math.sqrt(1 / m + 1 / rows))
+                i = int(np.argmin(np.abs(abs(shift) - logs)))
+                if abs(abs(shift) - logs[i]) <= tolerance:
+                    factor = KNOWN_FACTORS[i] if shift > 0 else 1 / KNOWN_FACTORS[i]
+                    offset += math.log(factor)
+            out.append((pdf["source"].iloc[0], k, int(pdf["start"].iloc[begin]), int(pdf["stop"].iloc[end - 1]), int(pdf["first_key"].iloc[begin]), int(pdf["last_key"].iloc[end - 1]), int(m), now, shift, tolerance, factor, offset))
+            begin, level, rows = end, now, m
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SHIFT_DDL.split(", ")]).astype({"shift": float, "tolerance": float, "factor": float})
+
+    got = pieces.groupBy("source").applyInPandas(whole, SHIFT_DDL)
+    return got.select(F.when(F.col("source") != "", F.col("source")).alias("source"), *[F.when(~F.isnan(c), F.col(c)).alias(c) if c in ("shift", "tolerance", "factor") else F.col(c) for c in got.columns[1:]])
+
+
+def reversed_values(history: DataFrame, source: str, order: list[str], key: str, value: str, *, block_rows: int = 4096, **options) -> DataFrame:
+    """(source, key, value, factor, reversed_value) of every positive reading: ``factor`` is the product of the matched shifts
+    between the reading and the source's main unit (that of most of its rows), by which the value is divided."""
+    settings = {"penalty": 20.0, "errors": 4.0, "widest": 0.35, "min_size": 5} | options
+    ranked = _ranked(history, source, order, key, value)
+    found = spill_table(_shifts(ranked, settings["penalty"], settings["errors"], settings["widest"], block_rows, settings["min_size"]), "shifts").withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_f", F.round("offset", 9))
+    held = found.groupBy("_s", "_f").agg(F.sum("n").alias("_n"))
+    main = held.groupBy("_s").agg(F.max_by("_f", F.struct("_n", -F.abs("_f"), "_f")).alias("_main"))
+    spans = found.join(main, "_s").select(F.col("_s"), "start", "stop", F.exp(F.col("_f") - F.col("_main")).alias("factor"), F.explode(F.sequence(F.floor(F.col("start") / block_rows), F.floor(F.col("stop") / block_rows))).alias("_b"))
+    rows = ranked.withColumn("_b", F.floor(F.col("_rank") / block_rows))
+    both = rows.join(spans, (rows["source"] == spans["_s"]) & (rows["_b"] == spans["_b"]) & F.col("_rank").between(F.col("start"), F.col("stop")))
+    return both.select(F.when(F.col("_s") != "", F.col("_s")).alias(source), F.col("_k").alias(key), F.exp("_x").alias(value), "factor", F.exp(F.col("_x") - F.ln("factor")).alias("reversed_value"))

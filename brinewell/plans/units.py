@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.units import to_common_units, unit_shifts
+from ..operators.units import reversed_values, to_common_units, unit_shifts
 from ..sources.tables import table
 
 
@@ -24,5 +24,11 @@ def p4_unit_shifts(spark: SparkSession, folder: str) -> DataFrame:
     return unit_shifts(rows, "survey_code", ["loaded_at"], "obs_id", "measurement")
 
 
-QUERIES = {"p4_found": p4_found, "p4_unit_shifts": p4_unit_shifts}
+def p4_reversed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every positive reading with the matched shifts of its survey's history taken back."""
+    rows = table(spark, folder, "observations").select("survey_code", "loaded_at", "obs_id", "measurement")
+    return reversed_values(rows, "survey_code", ["loaded_at"], "obs_id", "measurement")
+
+
+QUERIES = {"p4_found": p4_found, "p4_unit_shifts": p4_unit_shifts, "p4_reversed": p4_reversed}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brinewell.operators.units import match_factor, pelt, stated_unit, to_common_units, unit_shifts
+from brinewell.operators.units import optimal_cuts, pelt, reversed_values, stated_unit, to_common_units, unit_shifts
 
 UNITS = [
     ("pieces/m3", "number_per_volume", 1.0), ("Pieces / M3", "number_per_volume", 1.0), ("10^3 pieces/m3", "number_per_volume", 1e3), ("x1000 items/m3", "number_per_volume", 1e3),
@@ -65,12 +65,37 @@ def test_changepoints_are_optimal(seed):
     assert pelt(np.zeros(0), 1.0) == [] and pelt(np.ones(1), 1.0, 5) == [1]
 
 
-def test_unit_change_is_found(spark):
+def test_pieces_give_the_cuts_of_their_rows():
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(m, 1, 60) for m in (0, 5, 5, -4)])
+    ends = pelt(x, 15.0, 5)
+    edges = sorted({*range(0, 241, 20), *ends})
+    pieces = [x[a:b] for a, b in zip(edges, edges[1:])]
+    got = optimal_cuts(np.array([len(p) for p in pieces]), np.array([p.sum() for p in pieces]), np.array([(p * p).sum() for p in pieces]), 15.0, 5)
+    assert [edges[k] for k in got] == ends
+
+
+def history(spark):
     r = np.random.default_rng(3)
     rows = [(k, ("S" if k < 600 else None), k, float(np.exp(r.normal(0, 0.3)) * (1000.0 if 200 <= k < 400 else 1.0))) for k in range(700)] + [(900, "S", 900, None), (901, "S", 901, -999.0), (902, "S", 902, 0.0)]
-    df = spark.createDataFrame(rows, "id long, code string, at long, v double")
-    for block in (4096, 150):
-        got = unit_shifts(df, "code", ["at"], "id", "v", block_rows=block).where("factor is not null and source = 'S'").orderBy("first_key").collect()
-        assert [(g["first_key"], round(math.log10(g["factor"]))) for g in got] == [(200, 3), (400, -3)]
-    assert match_factor(math.log(1000) + 0.05, 0.35) == 1000.0 and match_factor(0.2, 0.35) is None
-    assert unit_shifts(df.limit(0), "code", ["at"], "id", "v").collect() == []
+    return spark.createDataFrame(rows, "id long, code string, at long, v double")
+
+
+@pytest.mark.parametrize("block", [4096, 150, 40])
+def test_unit_change_is_found_whatever_the_blocks(spark, block):
+    df = history(spark)
+    got = unit_shifts(df, "code", ["at"], "id", "v", block_rows=block).orderBy("source", "segment").collect()
+    # three segments and one: no block edge is a cut
+    assert [(g["source"], g["first_key"], g["last_key"], g["factor"] and round(math.log10(g["factor"]))) for g in got] == [(None, 600, 699, None), ("S", 0, 199, None), ("S", 200, 399, 3), ("S", 400, 599, -3)]
+    back = {r["id"]: r for r in reversed_values(df, "code", ["at"], "id", "v", block_rows=block).collect()}
+    assert len(back) == 700 and all(b["factor"] == pytest.approx(1000.0 if 200 <= i < 400 else 1.0) for i, b in back.items())
+    assert max(b["reversed_value"] for b in back.values()) < 5
+
+
+def test_shifts_that_match_no_factor_stay(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, "S", k, float(np.exp(r.normal(0, 0.2)) * (4.5 if k >= 150 else 1.0))) for k in range(300)], "id long, code string, at long, v double")
+    got = unit_shifts(df, "code", ["at"], "id", "v").orderBy("segment").collect()
+    assert len(got) == 2 and got[1]["factor"] is None and got[1]["shift"] == pytest.approx(math.log(4.5), abs=0.1)
+    assert reversed_values(df, "code", ["at"], "id", "v").where("factor <> 1").count() == 0
+    assert unit_shifts(df.limit(0), "code", ["at"], "id", "v").collect() == [] and reversed_values(df.limit(0), "code", ["at"], "id", "v").collect() == []
