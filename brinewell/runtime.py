@@ -1,27 +1,34 @@
-"""Session helpers shared by every operator: lineage cuts, bounded lookups, Arrow glue."""
+"""Session helpers shared by every operator: lineage cuts, bounded lookups."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a folder of our own is set.
+    Where that is unset a folder of our own is set, in local mode only: executors
+    on other machines could not read it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
     if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not current.isDefined():
             sc.setCheckpointDir(named)
         return named
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="brinewell-"))
+    if current.isDefined():
+        return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="brinewell-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -32,13 +39,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spill_table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a compressed Parquet table in the shared folder (smaller than a checkpoint)."""
+    """``df`` as a compressed Parquet table in the shared folder (smaller than a checkpoint).
+
+    Later plans read it, so it stays until :func:`drop_spilled` or the end of the session.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(drop_spilled)
+    _written.append((spark, path))
     return spark.read.parquet(path)
 
 
+def drop_spilled() -> None:
+    """Delete every spilled table; call it once the results that were built on them are written."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
+
+
 class TooLarge(ValueError):
     """A side that was to be held by every task is over its stated bound."""
 
@@ -49,10 +74,3 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise TooLarge(f"{what}: more than {limit} rows; use the distributed path")
     return rows
-
-
-def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t.type) for c, t in zip(columns, schema)],
-        schema=schema,
-    )
