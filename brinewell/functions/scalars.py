@@ -92,7 +92,7 @@ def clean_keywords(text: Column) -> Column:
 
 def strip_list_marks(text: Column) -> Column:
     """Numbered marks off the start of every line; blank lines stay, ``- item`` is untouched."""
-    return F.array_join(F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, r"^\s*[-0-9#]+\.\s*", "")), "\n")
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, r"^\s*[-\p{Nd}#]+\.\s*", "")), "\n")
 
 
 def non_empty_lines(text: Column) -> Column:

@@ -8,13 +8,16 @@ give null instead of an error; ``clip`` keeps scores away from both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import indicator, midpoint_year
-from ..runtime import spill_table
+from ..runtime import bounded_rows, cut_lineage, spill_table
 
 
 def finite(df: DataFrame, value: str) -> DataFrame:
@@ -188,49 +191,91 @@ def doubly_robust(df: DataFrame, outcome: str, t: str, ps: Column, mu1: Column,
 # -- resampling -----------------------------------------------------------------------------------
 
 
-def uniform_draw(row_id: Column, round_no: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the row, the round and the seed only: repeatable however rows are partitioned."""
-    return F.pmod(F.xxhash64(F.lit(seed), round_no, row_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def poisson_draws(ids: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts, rows by rounds, that depend on the id, the round and the seed only: repeatable however rows are partitioned."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = x[:, None] ^ (np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))[None, :]
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    total, chance, steps = 0.0, math.exp(-1), []
+    for k in range(14):
+        total += chance
+        steps.append(min(total, 1.0) * 2**53)
+        chance /= k + 1
+    return np.searchsorted(np.array(steps), (h >> np.uint64(11)).astype(np.float64), "right")
+
+
+def resampled_cells(df: DataFrame, row_id: str, cells: list[str], sums: list[str], *, rounds: int = 200, seed: int = 123) -> DataFrame:
+    """(round, cells..., n, sums...) of row bootstraps: in every round the drawn rows of each cell and the sums over them.
+
+    Rows are read once; a batch multiplies its rows' draws by their values for all
+    rounds together, so what is shuffled is cells times rounds and not rows times
+    rounds.  With a key among ``cells`` every row stays on its own.
+    """
+    kinds = dict(df.dtypes)
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            for c in cells:
+                d = batch.column(c).dictionary_encode()
+                part = d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+                code = np.unique(code * (len(d.dictionary) + 1) + part, return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
+            w = poisson_draws(batch.column(row_id).to_numpy()[order], rounds, seed).astype(np.float64)
+            out = [np.add.reduceat(w, start)] + [np.add.reduceat(w * batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[order, None], start) for c in sums]
+            g, r = np.nonzero(out[0])
+            at = pa.array(order[start][g])
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), *(batch.column(c).take(at) for c in cells), *(pa.array(o[g, r]) for o in out)], names=["round", *cells, "n", *sums])
 
-def poisson_of(u: Column) -> Column:
-    """Poisson(1) count of a uniform draw, as one CASE expression."""
-    p, total, out = 0.36787944117144233, 0.0, None
-    for k in range(12):
-        total += p
-        out = F.when(u < total, F.lit(k)) if out is None else out.when(u < total, F.lit(k))
-        p /= k + 1
-    return out.otherwise(F.lit(12))
+    ddl = ", ".join(["round int", *(f"`{c}` {kinds[c]}" for c in cells), "n double", *(f"`{c}` double" for c in sums)])
+    picked = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias(row_id), *cells, *[F.col(c).cast("double").alias(c) for c in sums])
+    return picked.mapInArrow(run, ddl).groupBy("round", *cells).agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
 
 
-def poisson_weight(row_id: Column, round_no: Column, seed: int) -> Column:
-    return poisson_of(uniform_draw(row_id, round_no, seed))
+def estimate_rounds(cells: DataFrame, est_fn: Callable) -> DataFrame:
+    """(round, estimate): ``est_fn`` takes the pandas frame of one round's cells and gives a number; null where it is not identified (NaN)."""
 
+    def run(key, pdf):
+        import pandas as pd
 
-def _drawn(df: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
-    """Each row in every round that draws it, with ``_w`` times; rows drawn 0 times are dropped by their draw alone."""
-    r = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_u", uniform_draw(F.col(key), F.col("round"), seed))
-    return r.where(F.col("_u") >= 0.36787944117144233).withColumn("_w", poisson_of(F.col("_u"))).drop("_u")
+        return pd.DataFrame({"round": [key[0]], "estimate": [float(est_fn(pdf))]})
 
+    # a group is one round's cells: the design, not the rows
+    return cells.groupBy("round").applyInPandas(run, "round int, estimate double")
 
-def bootstrap_rows(df: DataFrame, row_id: str, stats: Callable[[Column], dict[str, Column]], *, rounds: int = 200, seed: int = 123) -> DataFrame:
-    """(round, statistic...) of ``rounds`` row bootstraps in one job.
 
-    ``stats(w)`` gives aggregates of weighted rows; each row is expanded into its
-    rounds inside the map side, where partial aggregation leaves ``rounds`` rows a task.
-    """
-    r = _drawn(df, row_id, rounds, seed)
-    return r.groupBy("round").agg(*[c.alias(n) for n, c in stats(F.col("_w")).items()])
+def bootstrap_rows(df: DataFrame, row_id: str, cells: list[str], outcome: str, est_fn: Callable, *, rounds: int = 200, seed: int = 123) -> DataFrame:
+    """(round, estimate) of row bootstraps of any estimator of cells (with columns n and ``outcome``, its sum): it is fitted anew in each round."""
+    return estimate_rounds(resampled_cells(df, row_id, cells, [outcome], rounds=rounds, seed=seed), est_fn)
+
+
+def block_draws(units: list, rounds: int, seed: int) -> list[tuple]:
+    """(round, unit, times): as many units as there are, with replacement, in every round."""
+    r, out = np.random.default_rng(seed), []
+    for k in range(rounds):
+        times = np.bincount(r.integers(0, len(units), len(units)), minlength=len(units)) if units else []
+        out += [(k, u, int(n)) for u, n in zip(units, times) if n]
+    return out
 
 
-def bootstrap_blocks(units: DataFrame, unit: str, stats: Callable[[Column], dict[str, Column]], *, rounds: int = 200, seed: int = 123, min_units: int = 2) -> DataFrame:
-    """(round, n_units, identified, statistic...) of block bootstraps over per-unit sufficient statistics.
+def bootstrap_blocks(df: DataFrame, unit: str, cells: list[str], outcome: str, est_fn: Callable, *, rounds: int = 200, seed: int = 123, min_units: int = 2, max_units: int = 100_000) -> DataFrame:
+    """(round, n_units, identified, estimate) of block bootstraps: units are drawn, all rows of each draw count.
 
-    ``units`` has one row per unit, so a draw of a unit stands for all its rows. Rounds that
-    hold fewer than ``min_units`` different units are marked as not identified.
+    Rows are summed per unit and cell once; a round weights those sums. Rounds of
+    fewer than ``min_units`` different units are marked as not identified.
     """
-    r = _drawn(units, unit, rounds, seed)
-    return r.groupBy("round").agg(F.count(F.lit(1)).alias("n_units"), (F.count(F.lit(1)) >= min_units).alias("identified"), *[c.alias(n) for n, c in stats(F.col("_w")).items()])
+    own = cut_lineage(df.na.drop(subset=[unit]).groupBy(unit, *cells).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(outcome).alias(outcome)))
+    names = sorted(r[0] for r in bounded_rows(own.select(unit).distinct(), max_units, f"units of {unit}"))
+    draws = df.sparkSession.createDataFrame(block_draws(names, rounds, seed), f"round int, `{unit}` {dict(df.dtypes)[unit]}, _w int")
+    both = own.join(draws, unit).groupBy("round", *cells).agg(F.sum(F.col("n") * F.col("_w")).alias("n"), F.sum(F.col(outcome) * F.col("_w")).alias(outcome))
+    sizes = draws.groupBy("round").agg(F.count(F.lit(1)).cast("int").alias("n_units"))
+    return estimate_rounds(both, est_fn).join(sizes, "round").select("round", "n_units", (F.col("n_units") >= min_units).alias("identified"), "estimate")
 
 
 def interval(replicates: DataFrame, stat: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

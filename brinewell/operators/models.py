@@ -6,23 +6,31 @@ and queries; a client for a real service is passed the same way.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import expected_count, is_yes, non_empty_lines, render, strip_list_marks
+from ..functions.scalars import expected_count, is_yes, non_empty_lines, render, stable_id, strip_list_marks
 from ..runtime import cut_lineage
 
 Model = Callable[[list[str]], list[str]]
 
-QUESTION_PROMPT = "Write {n} questions that the text answers, one per line.\n\n{text}"
-CHECK_PROMPT = "Does the text answer the question? Say yes or no.\n\n{text}\n\n{question}"
-ANSWER_PROMPT = "Answer from the context only.\n\n{context}\n\n{question}"
-SUMMARY_PROMPTS = {"현상": "Summarise what happens.\n\n{text}", "원인": "Summarise the causes.\n\n{text}", "대책": "Summarise the measures.\n\n{text}"}
+TEXT, ASKED = "Text:\n", "\n\nQuestions:\n"
+QUESTION_PROMPT = "Write {n} questions that the text answers, one per line.\n\n" + TEXT + "{text}"
+CHECK_PROMPT = "Does the text answer each question? Say yes or no, one line for each.\n\n" + TEXT + "{text}" + ASKED + "{questions}"
+ANSWER_PROMPT = "Answer from the text only.\n\n" + TEXT + "{context}" + ASKED + "{question}"
+# The intents, and the one for all others.
+SUMMARY_PROMPTS = {
+    "현상": "Summarise what happens, where and when, with figures.\n\n" + TEXT + "{text}",
+    "영향": "Summarise the harm to people or animals, with figures.\n\n" + TEXT + "{text}",
+    "대응": "Summarise who responds and how.\n\n" + TEXT + "{text}",
+}
 OTHER_INTENT = "기타"
-OTHER_PROMPT = "Summarise the text.\n\n{text}"
+OTHER_PROMPT = "Summarise the text.\n\n" + TEXT + "{text}"
 
 
 def ask(prompt: Column, model: Model) -> Column:
@@ -37,31 +45,50 @@ def ask(prompt: Column, model: Model) -> Column:
     return run(prompt)
 
 
+_ENDS = re.compile(r"[.!?。！？।\n]+")
+
+
+def _sentences(text: str) -> list[str]:
+    return [x.strip() for x in _ENDS.split(text) if x.strip()]
+
+
+def _taken_apart(prompt: str) -> tuple[str, str, str]:
+    """Instruction, text and questions of a prompt."""
+    head, _, rest = prompt.partition(TEXT)
+    text, _, asked = rest.rpartition(ASKED) if ASKED in rest else (rest, "", "")
+    return head, text, asked
+
+
 def question_stub(prompts: list[str]) -> list[str]:
     """One numbered line per sentence of the text, up to the number asked for."""
-    import re
-
     out = []
     for p in prompts:
-        head, _, text = p.partition("\n\n")
+        head, text, _ = _taken_apart(p)
         n = int((re.search(r"\d+", head) or [0])[0])
-        parts = [x.strip() for x in re.split(r"[.!?。！？।\n]+", text) if x.strip()]
-        out.append("\n".join(f"{i}. {x[:60]}?" for i, x in enumerate(parts[:n], 1)))
+        out.append("\n".join(f"{i}. {x}?" for i, x in enumerate(_sentences(text)[:n], 1)))
     return out
 
 
 def check_stub(prompts: list[str]) -> list[str]:
-    """Yes if the question's words stand in the text."""
+    """Yes, a line for each question, if its words stand in the text."""
     out = []
     for p in prompts:
-        _, _, rest = p.partition("\n\n")
-        text, _, q = rest.rpartition("\n\n")
-        out.append("yes" if q.strip(" ?？") and q.strip(" ?？") in text else "no")
+        _, text, asked = _taken_apart(p)
+        out.append("\n".join("yes" if q.strip(" ?？") and q.strip(" ?？") in text else "no" for q in asked.split("\n")))
     return out
 
 
-def echo_stub(prompts: list[str]) -> list[str]:
-    return [p.rsplit("\n\n", 1)[-1][:200] for p in prompts]
+def extract_stub(prompts: list[str]) -> list[str]:
+    """The sentence of the text that holds most words of the question; without a question, most of the text's frequent words. Ties go to the first."""
+    out = []
+    for p in prompts:
+        _, text, asked = _taken_apart(p)
+        parts = _sentences(text)
+        words = [re.findall(r"\w+", x.lower()) for x in parts]
+        weight = Counter(re.findall(r"\w+", asked.lower())) if asked else Counter(w for x in words for w in x)
+        score = [sum(weight[w] for w in set(x)) / (1 if asked else len(set(x)) ** 0.5) if x else 0.0 for x in words]
+        out.append(parts[score.index(max(score))] if parts else "")
+    return out
 
 
 def sentence_type(text: Column) -> Column:
@@ -77,9 +104,24 @@ def intent(text: Column) -> Column:
     return out.otherwise(OTHER_INTENT)
 
 
-def metadata(df: DataFrame, text: str, keywords: Column | None = None) -> DataFrame:
-    """Sentence type, intent and keywords on each row."""
-    return df.withColumns({"sentence_type": sentence_type(F.col(text)), "intent": intent(F.col(text)), "keywords": keywords if keywords is not None else F.array_join(F.slice(F.split(F.col(text), r"\s+"), 1, 5), " ")})
+def keyword_terms(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5) -> DataFrame:
+    """(doc_id, keywords): the ``n`` terms of each document of highest tf-idf, in order, joined by commas; ties by the term.
+
+    Counts are map-side aggregates over all documents; what is gathered is one
+    document's terms.
+    """
+    t = docs.select(F.col(doc_id).alias("_d"), F.explode(tokens).alias("_t")).where("_t <> ''")
+    tf = t.groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("_tf"))
+    df = tf.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    total = docs.agg(F.count(F.lit(1)).alias("_n"))
+    scored = tf.join(df, "_t").join(F.broadcast(total)).withColumn("_s", F.round(F.col("_tf") * F.ln(F.col("_n") / F.col("_df")), 9))
+    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("_d").orderBy(F.col("_s").desc(), "_t"))).where(F.col("_r") <= n)
+    return best.groupBy("_d").agg(F.sort_array(F.collect_list(F.struct("_r", "_t"))).alias("_k")).select(F.col("_d").alias(doc_id), F.array_join(F.transform("_k", lambda k: k["_t"]), ",").alias("keywords"))
+
+
+def metadata(df: DataFrame, text: str) -> DataFrame:
+    """The question carried through as it is, with its sentence type and intent."""
+    return df.withColumns({"question": F.col(text), "sentence_type": sentence_type(F.col(text)), "intent": intent(F.col(text))})
 
 
 def intent_summary(df: DataFrame, text: str, model: Model, out: str = "summary") -> DataFrame:
@@ -98,28 +140,26 @@ def expected_queries(df: DataFrame, text: str, model: Model, out: str = "queries
     return df.withColumn(out, F.coalesce(non_empty_lines(strip_list_marks(ask(prompt, model))), F.array().cast("array<string>")))
 
 
-def verify_queries(df: DataFrame, key: str, text: str, queries: str, model: Model) -> DataFrame:
-    """(key, valid array<string>): the queries that the model confirms, in order.
-
-    Verdicts are asked for one row per query in the same task as the row's
-    explode; the array of one document is what is gathered again.
-    """
-    rows = df.select(key, F.col(text).alias("_t"), F.posexplode_outer(queries).alias("_i", "_q"))
-    judged = rows.withColumn("_ok", is_yes(ask(F.when(F.col("_q").isNotNull(), render(CHECK_PROMPT, text=F.col("_t"), question=F.col("_q"))), model)))
-    got = judged.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("_ok"), F.struct("_i", "_q")))).alias("_v"))
-    return got.select(key, F.transform("_v", lambda v: v["_q"]).alias("valid"))
+def verify_queries(df: DataFrame, text: str, queries: str, model: Model, out: str = "valid") -> DataFrame:
+    """``df`` with the queries that the model confirms, in order: one call holds a text once with all its questions."""
+    asked = F.transform(queries, lambda q: F.regexp_replace(q, r"\n+", " "))
+    prompt = F.when(F.size(queries) > 0, render(CHECK_PROMPT, text=F.col(text), questions=F.array_join(asked, "\n")))
+    verdicts = df.withColumn("_verdicts", F.split(ask(prompt, model), "\n", -1))
+    kept = F.filter(F.col(queries), lambda q, i: is_yes(F.get(F.col("_verdicts"), i)))
+    return verdicts.withColumn(out, F.coalesce(kept, F.array().cast("array<string>"))).drop("_verdicts")
 
 
 def self_check(df: DataFrame, key: str, text: str, generate: Model | list[Model], check: Model, *, least: int = 3, max_rounds: int = 3) -> DataFrame:
-    """(key, queries, round, done): generate, verify, and try again for documents with under
-    ``least`` valid queries. A retry replaces the list; only pending documents run again."""
+    """(key, thread_id, queries, round, done): generate, verify, and try again for documents with under
+    ``least`` valid queries. A retry replaces the list; only pending documents run again.
+    The thread of a document is the same in all its rounds."""
     done, pending = None, df.select(key, F.col(text).alias("_t"))
     for r in range(1, max_rounds + 1):
         g = generate[min(r, len(generate)) - 1] if isinstance(generate, list) else generate
         drawn = expected_queries(pending, "_t", g, "_q")
-        checked = cut_lineage(verify_queries(drawn, key, "_t", "_q", check).withColumn("_ok", F.size("valid") >= least))
+        checked = cut_lineage(verify_queries(drawn, "_t", "_q", check).select(key, "valid", (F.size("valid") >= least).alias("_ok")))
         last = r == max_rounds
-        out = checked.where(F.lit(True) if last else F.col("_ok")).select(key, F.col("valid").alias("queries"), F.lit(r).alias("round"), F.col("_ok").alias("done"))
+        out = checked.where(F.lit(True) if last else F.col("_ok")).select(key, stable_id(F.lit("self_check"), F.col(key)).alias("thread_id"), F.col("valid").alias("queries"), F.lit(r).alias("round"), F.col("_ok").alias("done"))
         done = out if done is None else done.unionByName(out)
         if last:
             break

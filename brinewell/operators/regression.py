@@ -30,9 +30,6 @@ class Design:
     names: list[str]
     terms: list[Column] = field(repr=False)
 
-    def matrix(self, df: DataFrame) -> DataFrame:
-        return df
-
 
 def parse_formula(formula: str) -> tuple[str, list[list[str]]]:
     """(outcome, terms): ``a*b`` is a + b + a:b, every term a list of factors; the intercept is implied unless ``-1``/``0``."""
@@ -126,21 +123,27 @@ class Fit:
     identified: np.ndarray
     design: Design
     critical: float = 1.959963984540054
+    normal: bool = True
+
+    def chance(self, z: float) -> float:
+        """Distribution of the statistic: normal, or Student's t with the residual degrees of freedom."""
+        return NormalDist().cdf(z) if self.normal else t_chance(z, self.df_resid)
 
     def rows(self) -> list[tuple]:
         out = []
         for i, n in enumerate(self.names):
             if not self.identified[i]:
-                out.append((n, None, None, None, None, None))
+                out.append((n, None, None, None, None, None, None))
                 continue
             se = float(self.se[i]) if np.isfinite(self.se[i]) else None
             b = float(self.beta[i])
-            out.append((n, b, se, b / se if se else None, b - self.critical * se if se is not None else None, b + self.critical * se if se is not None else None))
+            z = b / se if se else None
+            out.append((n, b, se, z, None if z is None else 2 * (1 - self.chance(abs(z))), b - self.critical * se if se is not None else None, b + self.critical * se if se is not None else None))
         return out
 
     def table(self, spark) -> DataFrame:
-        """term, estimate, std_error, statistic, ci_low, ci_high (nulls where not identified)."""
-        return spark.createDataFrame(self.rows(), "term string, estimate double, std_error double, statistic double, ci_low double, ci_high double")
+        """term, estimate, std_error, statistic, p_value, ci_low, ci_high (nulls where not identified)."""
+        return spark.createDataFrame(self.rows(), "term string, estimate double, std_error double, statistic double, p_value double, ci_low double, ci_high double")
 
     def coefficient(self, name: str) -> float | None:
         i = self.names.index(name)
@@ -153,26 +156,30 @@ class Fit:
         return out
 
 
+def t_chance(t: float, df: int) -> float:
+    """Distribution of Student's t at ``t`` >= 0: the density integrated by Simpson's rule."""
+    if df <= 0:
+        return math.nan
+    if df > 2000:
+        return NormalDist().cdf(t * (1 - 1 / (4 * df)) / math.sqrt(1 + t * t / (2 * df)))
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    u = np.linspace(0.0, math.atan(t / math.sqrt(df)), 2001)
+    y = np.cos(u) ** (df - 1) * math.sqrt(df) * c
+    h = u[1] - u[0]
+    return float(0.5 + h / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()))
+
+
 def t_quantile(p: float, df: int) -> float:
-    """Quantile of Student's t by bisection on its incomplete beta series (df >= 1)."""
+    """Quantile of Student's t by bisection (df >= 1)."""
     if df <= 0:
         return math.nan
     if df > 2000:
         z = NormalDist().inv_cdf(p)
         return z + (z**3 + z) / (4 * df)
-
-    def cdf(t: float) -> float:
-        # integral of the density by Simpson's rule on 0..t
-        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
-        u = np.linspace(0.0, math.atan(t / math.sqrt(df)), 2001)
-        y = np.cos(u) ** (df - 1) * math.sqrt(df) * c
-        h = u[1] - u[0]
-        return 0.5 + h / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
-
     lo, hi = 0.0, 1e3 if df > 1 else 1e6
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
+        lo, hi = (mid, hi) if t_chance(mid, df) < p else (lo, mid)
     return (lo + hi) / 2
 
 
@@ -211,7 +218,7 @@ def ols(df: DataFrame, formula: str, *, cluster: str | None = None, small_sample
         meat, g = np.array([v or 0.0 for v in got["m"]], float).reshape(k, k), int(got["g"])
         f = (g / (g - 1) * (n - 1) / resid if g > 1 and resid > 0 else math.nan) if small_sample else 1.0
         var, crit = np.diag(inv @ meat @ inv) * f, NormalDist().inv_cdf(0.975)
-    return Fit(d.names, beta, np.sqrt(np.where(var >= 0, var, np.nan)), n, resid, rank, identified, d, crit)
+    return Fit(d.names, beta, np.sqrt(np.where(var >= 0, var, np.nan)), n, resid, rank, identified, d, crit, cluster is not None)
 
 
 #: Up to this many different rows of a design, a logistic fit needs one job only.
@@ -235,6 +242,20 @@ def logit(df: DataFrame, formula: str, *, max_iter: int = 100, tol: float = 1e-1
     if local:
         x, y, m = np.array([r[:k] for r in cells], float).reshape(-1, k), np.array([r["_y"] for r in cells], float), np.array([r["_n"] for r in cells], float)
 
+    # steps are taken on centred and scaled columns, whatever the units of the covariates are
+    if local:
+        total = max(1.0, float(m.sum()))
+        mean, spread = (m @ x) / total, np.sqrt(np.maximum((m @ (x * x)) / total - ((m @ x) / total) ** 2, 0))
+    else:
+        got = rows.agg(F.array(*[F.avg(c) for c in xs]).alias("m"), F.array(*[F.stddev_pop(c) for c in xs]).alias("s")).first()
+        mean, spread = np.array([v or 0.0 for v in got["m"]]), np.array([v or 0.0 for v in got["s"]])
+    varies = spread > 1e-12 * (1 + np.abs(mean))
+    scale, shift = np.where(varies, spread, 1.0), np.where(varies & ("Intercept" in d.names), mean, 0.0)
+    if local:
+        x = (x - shift) / scale
+    else:
+        rows = rows.withColumns({c: (F.col(c) - F.lit(float(a))) / F.lit(float(b)) for c, a, b in zip(xs, shift, scale)})
+
     def step(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
         if local:
             eta = x @ beta
@@ -265,7 +286,10 @@ def logit(df: DataFrame, formula: str, *, max_iter: int = 100, tol: float = 1e-1
         if np.abs(move).max(initial=0.0) < tol or abs(last - dev) < tol * (abs(dev) + 0.1):
             break
         last = dev
-    return Fit(d.names, beta, np.sqrt(np.maximum(np.diag(inv), 0)), n, n - rank, rank, ident, d)
+    back = np.diag(1 / scale)
+    if "Intercept" in d.names:
+        back[d.names.index("Intercept")] -= shift / scale
+    return Fit(d.names, back @ beta, np.sqrt(np.maximum(np.diag(back @ inv @ back.T), 0)), n, n - rank, rank, ident, d)
 
 
 def probability(fit: Fit) -> Column:

@@ -26,10 +26,6 @@ def wide_to_long(df: DataFrame, ids: list[str], values: list[str], name: str = "
     return df.unpivot([F.col(c) for c in ids], [F.col(c) for c in values], name, value)
 
 
-def unit_means(df: DataFrame, unit: str, outcome: str, *more: str) -> DataFrame:
-    return df.na.drop(subset=[unit, *more]).groupBy(unit, *more).agg(F.avg(outcome).alias(outcome))
-
-
 def attach_mean(df: DataFrame, keys: list[str], outcome: str, suffix: str = "_mean") -> DataFrame:
     """Left join of a group's mean outcome, the clashing column suffixed."""
     m = df.groupBy(*keys).agg(F.avg(outcome).alias(outcome + suffix))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,8 +109,6 @@ def greedy_diverse(hits: DataFrame, vectors: DataFrame, queries: DataFrame, id_:
     cand = hits.join(vectors.select(F.col(id_).alias("id"), F.col(vector).alias("_v")), "id").join(queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("_q")), "query_id")
 
     def pick(key, pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values("rank", kind="stable")
         m = np.stack([np.asarray(v, float) for v in pdf["_v"]])
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
@@ -128,9 +127,12 @@ def greedy_diverse(hits: DataFrame, vectors: DataFrame, queries: DataFrame, id_:
     return cand.groupBy("query_id").applyInPandas(pick, "query_id long, pick int, id long")
 
 
-def drop_redundant(hits: DataFrame, vectors: DataFrame, id_: str, vector: str, threshold: float = 0.95) -> DataFrame:
-    """Candidates of a query in order of rank, without those whose cosine to a kept earlier one reaches the threshold."""
-    cand = hits.join(vectors.select(F.col(id_).alias("id"), F.col(vector).alias("_v")), "id")
+def drop_redundant(hits: DataFrame, vectors: DataFrame | None, id_: str, vector: str, threshold: float = 0.95) -> DataFrame:
+    """Candidates of a query in order of rank, without those whose cosine to a kept earlier one reaches the threshold.
+
+    Without ``vectors`` the hits carry their own in the column ``vector``.
+    """
+    cand = hits.withColumnRenamed(vector, "_v") if vectors is None else hits.join(vectors.select(F.col(id_).alias("id"), F.col(vector).alias("_v")), "id")
 
     def keep(key, pdf):
         pdf = pdf.sort_values("rank", kind="stable")
@@ -150,6 +152,72 @@ def keep_relevant(pairs: DataFrame, a: str, b: str, threshold: float = 0.76) ->
     return pairs.withColumn("similarity", cosine(F.col(a), F.col(b))).where(F.col("similarity") >= threshold)
 
 
+# -- embedding, search, compression ---------------------------------------------------------------
+
+DIMENSION = 64
+
+
+def embed(text: Column, model=None) -> Column:
+    """array<float> of each text by a callable from texts to vectors, in Arrow batches; null texts have none.
+
+    The stand-in is a hashed bag of words of unit length.
+    """
+    @F.pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        have = [t for t in s if t is not None]
+        got = iter((model or hashed_words)(have))
+        return pd.Series([None if t is None else next(got) for t in s], dtype=object)
+
+    return run(text)
+
+
+def hashed_words(texts: list[str], dimension: int = DIMENSION) -> list[np.ndarray]:
+    """Counts of lower-case words by the bucket of their MD5, scaled to unit length; a text without words is the zero vector."""
+    import hashlib
+    import re
+
+    known: dict[str, int] = {}
+    out = []
+    for t in texts:
+        v = np.zeros(dimension)
+        for w in re.findall(r"\w+", t.lower()):
+            if w not in known:
+                known[w] = int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dimension
+            v[known[w]] += 1
+        size = np.sqrt(v @ v)
+        out.append((v / size if size else v).astype(np.float32))
+    return out
+
+
+def search(corpus: DataFrame, queries: DataFrame, id_: str, vector: str, k: int = 4, *, search_type: str = "similarity", filter_by: str | None = None, fetch_k: int = 20, threshold: float = 0.76) -> DataFrame:
+    """(query_id, rank, id) by one of three kinds of search: 'similarity', 'mmr', or 'similarity_score_threshold' (cosine)."""
+    if search_type == "similarity":
+        return nearest(corpus, queries, id_, vector, k, filter_by=filter_by).select("query_id", "rank", "id")
+    if search_type == "mmr":
+        hits = nearest(corpus, queries, id_, vector, max(k, fetch_k), filter_by=filter_by)
+        return greedy_diverse(hits, corpus, queries, id_, vector, k).select("query_id", F.col("pick").alias("rank"), "id")
+    if search_type == "similarity_score_threshold":
+        hits = nearest(corpus, queries, id_, vector, k, filter_by=filter_by)
+        both = hits.join(corpus.select(F.col(id_).alias("id"), F.col(vector).alias("_a")), "id").join(queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("_b")), "query_id")
+        return keep_relevant(both, "_a", "_b", threshold).select("query_id", "rank", "id")
+    raise ValueError(f"search type {search_type!r}")
+
+
+def compress(hits: DataFrame, texts: DataFrame, queries: DataFrame, split: Column, *, redundant: float = 0.95, relevant: float = 0.76, model=None) -> DataFrame:
+    """(query_id, rank, id, piece_no, piece, query_similarity_score): retrieved texts cut by ``split`` (of column text), without
+    pieces that are nearly an earlier one of the query, and only those near the question.
+
+    ``hits`` has (query_id, rank, id), at most k a query; ``texts`` (id, text); ``queries`` (query_id, question).
+    """
+    cut = hits.join(texts, "id").select("query_id", F.col("rank").alias("doc_rank"), "id", F.posexplode(split).alias("piece_no", "piece")).withColumn("_v", embed(F.col("piece"), model))
+    asked = queries.select("query_id", embed(F.col("question"), model).alias("_q"))
+    # one query's pieces: bounded by its hits
+    order = cut.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_rank", "piece_no")))
+    kept = drop_redundant(order.select("query_id", "rank", F.col("rank").cast("long").alias("id"), "_v"), None, "id", "_v", redundant)
+    near = order.join(kept.select("query_id", "rank"), ["query_id", "rank"], "left_semi").join(asked, "query_id")
+    return keep_relevant(near, "_v", "_q", relevant).select("query_id", "rank", "id", "piece_no", "piece", F.col("similarity").alias("query_similarity_score"))
+
+
 # -- BM25 -----------------------------------------------------------------------------------------
 
 

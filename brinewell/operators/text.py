@@ -1,7 +1,7 @@
 """Chunking for retrieval indexes.
 
 The rule: a text is cut at the first separator of a list that occurs in it, the
-separator staying with the part before it; parts still too long are cut by the
+separator staying with the part behind it; parts still too long are cut by the
 remaining separators, at last by characters; parts are then merged in order up
 to the size, and each chunk repeats as many whole parts of its predecessor's end
 as fit the overlap.  Separators are literal.  Null texts have no chunks, blank
@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentence separators, the empty string last (single characters).
-SENTENCE_SEPARATORS = ("\n\n", "\n", ".", "．", "。", "!", "?", ",", "，", "、", " ", "")
+from ..functions.scalars import stable_id
+
+#: Separators of the overlapping splitter, in order; the last one means single characters.
+SENTENCE_SEPARATORS = ("\n\n", "\n", " ", ".", ",", "\u200b", "\uff0c", "\u3001", "\uff0e", "\u3002", "")
 
 
 def _parts(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
@@ -26,7 +28,7 @@ def _parts(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
             return [text[k : k + size] for k in range(0, len(text), size)]
         if s in text:
             cut = text.split(s)
-            whole = [p + s for p in cut[:-1]] + ([cut[-1]] if cut[-1] else [])
+            whole = ([cut[0]] if cut[0] else []) + [s + p for p in cut[1:]]
             return [q for p in whole for q in _parts(p, size, separators[i + 1 :] or ("",))]
     return [text[k : k + size] for k in range(0, len(text), size)]
 
@@ -59,10 +61,10 @@ def chunks(text: Column, size: int = 200, overlap: int = 10, separators: tuple[s
 
 
 def split_documents(docs: DataFrame, text: str, keep: list[str], size: int = 200, overlap: int = 10, separators: tuple[str, ...] = ("\n",), scope: str = "document") -> DataFrame:
-    """(keep..., chunk_seq_num from 0, page_content, question): ``question`` is the whole text
-    (``scope='document'``) or the chunk itself (``scope='chunk'``)."""
+    """(id, keep..., chunk_seq_num from 0, page_content, question): ``question`` is the whole text
+    (``scope='document'``) or the chunk itself (``scope='chunk'``); ``id`` is a repeatable one."""
     if scope not in ("document", "chunk"):
         raise ValueError(f"scope {scope!r}")
     cut = docs.withColumn("_chunks", chunks(F.col(text), size, overlap, separators))
     out = cut.select(*keep, F.col(text).alias("_text"), F.posexplode("_chunks").alias("chunk_seq_num", "page_content"))
-    return out.select(*keep, "chunk_seq_num", "page_content", (F.col("_text") if scope == "document" else F.col("page_content")).alias("question"))
+    return out.select(stable_id(*[F.col(k) for k in keep], F.col("chunk_seq_num")).alias("id"), *keep, "chunk_seq_num", "page_content", (F.col("_text") if scope == "document" else F.col("page_content")).alias("question"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cap, indicator, parse_date, safe_ln
 from ..operators import causal, profile, regression, reshape
+from ..runtime import bounded_rows, cut_lineage
 from ..sources.tables import table
 
 TREATED_REGION = "Caribbean Sea"
 LOW, HIGH = -7.5, 0.0
+MAX_YEARS = 10_000
 
 #: The same preparation for DuckDB.
 PREP = """
@@ -134,14 +136,27 @@ def unit_year_once(s, d):
     return reshape.once_per(p, ["treated", "year", "post"])
 
 
-MATRIX_YEARS = list(range(1995, 2025))
-
-
 def treatment_matrix(s, d):
+    """Units by the years that occur, gaps as 0, in order of the latest year; read back cell by cell."""
     p = panel(s, d).withColumn("w", F.col("treated") * F.col("post")).groupBy("treated", "year").agg(F.max("w").alias("w"))
-    m = reshape.treatment_matrix(p.withColumnRenamed("treated", "unit"), "unit", "year", "w", MATRIX_YEARS)
-    named = m.select("unit", *[F.col(str(y)).cast("double").alias(f"y{y}") for y in MATRIX_YEARS])
-    return reshape.ordinal(named, [F.col(f"y{MATRIX_YEARS[-1]}").desc(), F.col("unit")], "position")
+    p = cut_lineage(p)
+    years = sorted(r[0] for r in bounded_rows(p.select("year").distinct(), MAX_YEARS, "years"))
+    m = reshape.treatment_matrix(p.withColumnRenamed("treated", "unit"), "unit", "year", "w", years).withColumnsRenamed({str(y): f"y{y}" for y in years})
+    placed = reshape.ordinal(m, [F.col(f"y{years[-1]}").desc(), F.col("unit")], "position") if years else m.withColumn("position", F.lit(0))
+    cells = reshape.wide_to_long(placed.select("unit", "position", *[F.col(f"y{y}").cast("double").alias(f"y{y}") for y in years]), ["unit", "position"], [f"y{y}" for y in years], "year", "w") if years else placed.select("unit", "position", F.lit(None).cast("string").alias("year"), F.lit(None).cast("double").alias("w"))
+    return cells.select("unit", "position", F.substring("year", 2, 10).cast("int").alias("year"), "w")
+
+
+def year_labels(s, d):
+    """Years as labels beside the cell's bounds of the aggregated table."""
+    c = causal.cell_means(panel(s, d), "log_m")
+    return rounded(c.agg(F.min("outcome_mean").alias("low"), F.max("outcome_mean").alias("high"), F.concat_ws(",", F.sort_array(F.collect_set(F.col("first_year").cast("string")))).alias("years")))
+
+
+def treated_after(s, d):
+    """Treated rows after the intervention; an error if there is none."""
+    p = cut_lineage(panel(s, d).select("treated", "post", "regions"))
+    return causal.require_treated_after(p).where("treated = 1 and post = 1").groupBy("regions").agg(F.count(F.lit(1)).alias("n"))
 
 
 def post_change(s, d):
@@ -203,7 +218,7 @@ def ols_cluster_se(s, d):
 
 QUERIES = {f.__name__: f for f in (
     did_cell_means, did_att_2x2, did_outcome_growth, did_growth_effect, did_dataset_blocks, did_lines, cell_melt, intervention_year, treated_year_range, quantile_bounds, trimmed_outcome, year_trend, date_parts,
-    unit_year_panel, panel_join_mean, unit_year_once, treatment_matrix, post_change, pre_post_units, bin_xy, bounding_area, ols_univariate, ols_interaction, ols_saturated_cells, ols_fixed_effects, ols_cluster_se,
+    unit_year_panel, panel_join_mean, unit_year_once, treatment_matrix, year_labels, treated_after, post_change, pre_post_units, bin_xy, bounding_area, ols_univariate, ols_interaction, ols_saturated_cells, ols_fixed_effects, ols_cluster_se,
 )}
 
 _CELLS = "SELECT treated, post, avg(log_m) AS m FROM panel GROUP BY ALL"
@@ -230,7 +245,11 @@ ORACLES = {
     "unit_year_panel": PANEL + ", per AS (SELECT regions, year, max(treated * post) AS w, avg(log_m) AS outcome FROM panel WHERE regions IS NOT NULL GROUP BY ALL) SELECT regions, year, w, round(outcome, 6) AS outcome, max(w) OVER (PARTITION BY regions) AS ever_treated FROM per",
     "panel_join_mean": PANEL + "SELECT obs_id, regions, year, round(log_m, 6) AS log_m, round(avg(log_m) OVER (PARTITION BY regions, year), 6) AS log_m_mean FROM panel WHERE regions IS NOT NULL",
     "unit_year_once": PANEL + "SELECT DISTINCT treated, year, post FROM panel",
-    "treatment_matrix": PANEL + ", c AS (SELECT treated AS unit, year, max(treated * post) AS w FROM panel GROUP BY ALL), m AS (SELECT unit, " + ", ".join(f"coalesce(max(w) FILTER (year = {y}), 0)::DOUBLE AS y{y}" for y in MATRIX_YEARS) + f" FROM c GROUP BY unit) SELECT *, (row_number() OVER (ORDER BY y{MATRIX_YEARS[-1]} DESC, unit) - 1)::INT AS position FROM m",
+    "treatment_matrix": PANEL + """, c AS (SELECT treated AS unit, year, max(treated * post) AS w FROM panel GROUP BY ALL), y AS (SELECT DISTINCT year FROM c), u AS (SELECT DISTINCT unit FROM c),
+m AS (SELECT unit, year, coalesce(w, 0)::DOUBLE AS w FROM u CROSS JOIN y LEFT JOIN c USING (unit, year)), p AS (SELECT unit, (row_number() OVER (ORDER BY w DESC, unit) - 1)::INT AS position FROM m WHERE year = (SELECT max(year) FROM y))
+SELECT unit, position, year, w FROM m JOIN p USING (unit)""",
+    "year_labels": PANEL + ", c AS (SELECT avg(log_m) AS m, min(year) AS y FROM panel GROUP BY treated, post) SELECT round(min(m), 6) AS low, round(max(m), 6) AS high, array_to_string(list_sort(list_distinct(list(y::VARCHAR))), ',') AS years FROM c",
+    "treated_after": PANEL + "SELECT regions, count(*) AS n FROM panel WHERE treated = 1 AND post = 1 GROUP BY regions",
     "post_change": PANEL + f", c AS ({_CELLS}) SELECT treated, post, round(m, 6) AS outcome_mean, round(m - lag(m) OVER (PARTITION BY treated ORDER BY post), 6) AS change FROM c",
     "pre_post_units": PANEL + "SELECT regions FROM panel WHERE regions IS NOT NULL GROUP BY regions HAVING count(*) FILTER (post = 0) > 0 AND count(*) FILTER (post = 1) > 0",
     "bin_xy": PREP + """, o AS (SELECT obs_id, x, y FROM obs WHERE x IS NOT NULL AND y IS NOT NULL), e AS (SELECT trunc(min(x)) AS xl, trunc(max(x)) AS xh, trunc(min(y)) AS yl, trunc(max(y)) AS yh FROM o),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import indicator, inside, round_even, scaled_ceil
-from ..operators import causal, profile
+from ..operators import profile
 from .panel import PANEL, PREP, panel, prepared, rounded
 
 
@@ -30,13 +30,28 @@ def group_quantiles(s, d):
 
 
 def describe_outcome(s, d):
-    return rounded(profile.describe(causal.finite(prepared(s, d), "log_m"), "log_m"))
+    return rounded(profile.describe(prepared(s, d).where(~F.isnan("log_m")), "log_m"))
 
 
 def hist_outcome(s, d):
     return rounded(profile.histogram(panel(s, d), "log_m", 50))
 
 
+def hist_bins(s, d):
+    """The other widths that are drawn: 10, 20 and 30 bins."""
+    p = panel(s, d).select("log_m")
+    out = None
+    for n in (10, 20, 30):
+        h = profile.histogram(p, "log_m", n).select(F.lit(n).alias("bins"), "bin", "low", "count")
+        out = h if out is None else out.unionByName(h)
+    return rounded(out)
+
+
+def reference_lines(s, d):
+    """Where lines are drawn over the outcome: its mean in each arm, and over all."""
+    return rounded(panel(s, d).rollup("treated").agg(F.avg("log_m").alias("level"), F.grouping("treated").cast("int").alias("whole")))
+
+
 def zscore(s, d):
     return rounded(profile.zscore(panel(s, d).select("obs_id", "log_m"), "log_m"), 5)
 
@@ -84,7 +99,7 @@ def filled_cells(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    group_size, group_size_2key, group_stats, group_mean, group_quantiles, describe_outcome, hist_outcome, zscore, distinct_values, count_where, count_distinct, filtered_readings, scaled_values, latest_readings, union_arms, filled_cells,
+    group_size, group_size_2key, group_stats, group_mean, group_quantiles, describe_outcome, hist_outcome, hist_bins, reference_lines, zscore, distinct_values, count_where, count_distinct, filtered_readings, scaled_values, latest_readings, union_arms, filled_cells,
 )}
 
 _Q = "[0.05, 0.25, 0.5, 0.75, 0.95, 0.99]"
@@ -94,8 +109,10 @@ ORACLES = {
     "group_stats": PREP + "SELECT oceans, round(min(measurement), 6) AS measurement_min, round(max(measurement), 6) AS measurement_max, round(avg(measurement), 6) AS measurement_mean, round(stddev_samp(measurement), 6) AS measurement_std FROM obs WHERE oceans IS NOT NULL GROUP BY oceans",
     "group_mean": PREP + "SELECT density, round(avg(measurement), 6) AS measurement FROM obs WHERE density IS NOT NULL GROUP BY density",
     "group_quantiles": PREP + f"SELECT oceans, unnest({_Q}::DOUBLE[]) AS q, round(unnest(quantile_cont(measurement, {_Q})), 6) AS value FROM obs WHERE oceans IS NOT NULL GROUP BY oceans",
-    "describe_outcome": PREP + "SELECT count(log_m) AS count, round(avg(log_m), 6) AS mean, round(stddev_samp(log_m), 6) AS std, round(min(log_m), 6) AS min, round(quantile_cont(log_m, 0.25), 6) AS q25, round(quantile_cont(log_m, 0.5), 6) AS q50, round(quantile_cont(log_m, 0.75), 6) AS q75, round(max(log_m), 6) AS max FROM obs WHERE isfinite(log_m)",
+    "describe_outcome": PREP + "SELECT count(log_m) AS count, round(avg(log_m), 6) AS mean, CASE WHEN min(log_m) = '-inf'::DOUBLE THEN 'nan'::DOUBLE ELSE round(stddev_samp(log_m) FILTER (isfinite(log_m)), 6) END AS std, round(min(log_m), 6) AS min, round(quantile_cont(log_m, 0.25), 6) AS q25, round(quantile_cont(log_m, 0.5), 6) AS q50, round(quantile_cont(log_m, 0.75), 6) AS q75, round(max(log_m), 6) AS max FROM obs WHERE NOT isnan(log_m)",
     "hist_outcome": PANEL + ", e AS (SELECT min(log_m) AS lo, max(log_m) AS hi FROM panel), b AS (SELECT least(49, floor((log_m - lo) / ((hi - lo) / 50)))::INT AS bin, lo, hi FROM panel, e) SELECT bin, round(lo + bin * ((hi - lo) / 50), 6) AS low, count(*) AS count FROM b GROUP BY bin, lo, hi",
+    "hist_bins": PANEL + ", e AS (SELECT min(log_m) AS lo, max(log_m) AS hi FROM panel), n AS (SELECT unnest([10, 20, 30])::INT AS bins), b AS (SELECT bins, least(bins - 1, floor((log_m - lo) / ((hi - lo) / bins)))::INT AS bin, lo, hi FROM panel, e, n) SELECT bins, bin, round(lo + bin * ((hi - lo) / bins), 6) AS low, count(*) AS count FROM b GROUP BY bins, bin, lo, hi",
+    "reference_lines": PANEL + "SELECT treated, round(avg(log_m), 6) AS level, grouping(treated)::INT AS whole FROM panel GROUP BY ROLLUP (treated)",
     "zscore": PANEL + "SELECT obs_id, round(log_m, 5) AS log_m, round((log_m - avg(log_m) OVER ()) / stddev_samp(log_m) OVER (), 5) AS normed FROM panel",
     "distinct_values": PREP + "SELECT DISTINCT sampling_method FROM obs",
     "count_where": PREP + "SELECT count(*) FILTER (measurement >= 1) AS capped, count(*) FILTER (measurement = 0) AS zero, count(*) FILTER (year BETWEEN 2011 AND 2019) AS in_years, count(*) FILTER (unit = 'pieces/m3') AS pieces FROM obs",

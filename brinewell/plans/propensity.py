@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, profile, regression
+from ..operators import causal, cellfits, profile, regression
+from ..runtime import bounded_rows
 from .panel import PREP, prepared, rounded
 
 CELLS = ["density", "target_region"]
@@ -89,27 +90,40 @@ def dr_ate(s, d):
 def dr_ate_models(s, d):
     """Logistic score, one linear model per arm, predictions for all rows."""
     e = effects(s, d)
-    levels = {"density": sorted(r[0] for r in e.select("density").distinct().limit(1000).collect())}
+    levels = {"density": sorted(r[0] for r in bounded_rows(e.select("density").distinct(), regression.MAX_LEVELS, "levels of density"))}
     p = regression.logit(e, "t ~ C(density) + year", levels=levels)
     m1, m0 = (regression.ols(e.where(F.col("t") == a), "y ~ C(density) + year", levels=levels) for a in (1, 0))
     return rounded(causal.doubly_robust(e, "y", "t", regression.probability(p), m1.predict(), m0.predict()), 5)
 
 
+COVARIATES = ["density", "year"]
+
+
 def bootstrap_rows(s, d):
-    stats = lambda w: {"ate": F.try_divide(F.sum(w * F.col("t") * F.col("y")), F.sum(w * F.col("t"))) - F.try_divide(F.sum(w * (1 - F.col("t")) * F.col("y")), F.sum(w * (1 - F.col("t"))))}
-    return causal.interval(causal.bootstrap_rows(effects(s, d), "obs_id", stats), "ate")
+    """Interval of the inverse-weighted effect, the score fitted anew in each of 200 rounds."""
+    fit = cellfits.ipw_ate("t ~ C(density) + year", COVARIATES, "t", "y")
+    return causal.interval(causal.bootstrap_rows(effects(s, d), "obs_id", [*COVARIATES, "t"], "y", fit), "estimate")
+
+
+def bootstrap_doubly_robust(s, d):
+    fit = cellfits.doubly_robust_ate("t ~ C(density) + year", COVARIATES, "t", "y")
+    return causal.interval(causal.bootstrap_rows(effects(s, d), "obs_id", [*COVARIATES, "t"], "y", fit), "estimate")
 
 
 def bootstrap_blocks(s, d):
-    """Regions drawn as blocks; each region's rows count through its sums."""
+    """Interval of treated:post with unit and year effects, regions drawn as blocks, the regression fitted anew in each round."""
     from .panel import panel
 
-    p = panel(s, d).na.drop(subset=["regions"])
-    cell = lambda t, q, x: F.sum(F.when((F.col("treated") == t) & (F.col("post") == q), x).otherwise(F.lit(0.0)))
-    units = p.groupBy("regions").agg(*[cell(t, q, x).alias(f"{n}{t}{q}") for t in (0, 1) for q in (0, 1) for n, x in (("n", F.lit(1.0)), ("s", F.col("log_m")))])
-    mean = lambda w, t, q: F.try_divide(F.sum(w * F.col(f"s{t}{q}")), F.sum(w * F.col(f"n{t}{q}")))
-    stats = lambda w: {"att": mean(w, 1, 1) - mean(w, 1, 0) - mean(w, 0, 1) + mean(w, 0, 0)}
-    return causal.interval(causal.bootstrap_blocks(units, "regions", stats).where("identified"), "att")
+    fit = cellfits.coefficient("log_m ~ treated:post + C(target_region) + C(year)", "treated:post", "log_m")
+    rounds = causal.bootstrap_blocks(panel(s, d), "regions", ["target_region", "treated", "post", "year"], "log_m", fit)
+    return causal.interval(rounds.where("identified and estimate is not null"), "estimate")
+
+
+def year_score(s, d):
+    """Positivity on the real table: a score of the year alone, its stabilised weights and effect."""
+    e = effects(s, d)
+    fit = regression.logit(e, "t ~ year")
+    return rounded(causal.ipw_stabilised(e.withColumn("ps", regression.probability(fit)), "y", "t", "ps"), 5)
 
 
 def synthetic_effect(s, d):
@@ -120,7 +134,7 @@ def synthetic_effect(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    ps_cell_mean, ps_logit, ps_coefficients, regression_adjustment, score_adjustment, ipw_ate, ipw_short_form, ipw_stabilised, row_weights, ps_buckets, hist_weighted_prob, match_1nn_ate, dr_ate, dr_ate_models, bootstrap_rows, bootstrap_blocks, synthetic_effect,
+    ps_cell_mean, ps_logit, ps_coefficients, regression_adjustment, score_adjustment, ipw_ate, ipw_short_form, ipw_stabilised, row_weights, ps_buckets, hist_weighted_prob, match_1nn_ate, dr_ate, dr_ate_models, bootstrap_rows, bootstrap_doubly_robust, bootstrap_blocks, year_score, synthetic_effect,
 )}
 
 _W = "CASE WHEN t = 1 THEN 1 / ps ELSE 1 / (1 - ps) END"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_keywords, expected_count, is_yes, split_tokens, stable_id, strip_list_marks
 from ..operators import models, retrieval, text
+from ..runtime import cut_lineage
 from ..sources.tables import table
 from .panel import rounded
 
@@ -22,7 +23,9 @@ def questions(s, d):
 
 
 def doc_chunks(s, d):
-    return text.split_documents(documents(s, d), "text", ["doc_id", "title"]).select("doc_id", "title", "chunk_seq_num", "page_content")
+    """Chunk records: id, what the document says of itself with the chunk's number, and the chunk."""
+    cut = text.split_documents(documents(s, d), "text", ["doc_id", "title", "pub_date"])
+    return cut.select("id", F.struct("doc_id", "title", "pub_date", "chunk_seq_num").alias("metadata"), "page_content")
 
 
 def sentence_chunks(s, d):
@@ -30,6 +33,16 @@ def sentence_chunks(s, d):
     return text.split_documents(docs, "text", ["doc_id"], 150, 50, text.SENTENCE_SEPARATORS, scope="chunk").select("doc_id", "chunk_seq_num", "page_content")
 
 
+def short_chunks(s, d):
+    """Sentences of up to 80 characters that share up to 8."""
+    return text.split_documents(documents(s, d), "text", ["doc_id"], 80, 8, text.SENTENCE_SEPARATORS, scope="chunk").select("doc_id", "chunk_seq_num", "page_content")
+
+
+def doc_keywords(s, d):
+    """The five terms of every document that tell it from the others."""
+    return models.keyword_terms(documents(s, d).where("text is not null"), "doc_id", split_tokens(F.lower("text")))
+
+
 def tokens(s, d):
     t = documents(s, d).where("title is not null")
     return t.select("doc_id", F.posexplode(split_tokens(F.col("title"))).alias("pos", "token"))
@@ -126,12 +139,75 @@ def top_documents(s, d):
     return rounded(retrieval.top_documents(_fused(s, d)))
 
 
+def expected_query_index(s, d):
+    """(seq_num, expanded_query_seq_num, page_content, embedding): the questions that every document is expected to answer."""
+    q = models.expected_queries(documents(s, d).where("text is not null").select(F.col("doc_id").alias("seq_num"), "text"), "text", models.question_stub)
+    rows = q.select("seq_num", F.posexplode("queries").alias("expanded_query_seq_num", "page_content"))
+    return rows.withColumn("embedding", retrieval.embed(F.col("page_content")))
+
+
+def intent_summary_index(s, d):
+    """(id, seq_num, chunk_seq_num, page_content, embedding): the summary of the whole document, by its intent, for each of its chunks.
+
+    A document is summarised once, whatever the number of its chunks.
+    """
+    m = models.intent_summary(models.metadata(documents(s, d).where("text is not null").select(F.col("doc_id").alias("seq_num"), "text"), "text"), "text", models.extract_stub)
+    rows = m.select("seq_num", "summary", retrieval.embed(F.col("summary")).alias("embedding"), F.posexplode(text.chunks(F.col("text"))).alias("chunk_seq_num", "_c"))
+    return rows.select(text.stable_id(F.col("seq_num"), F.col("chunk_seq_num")).alias("id"), "seq_num", "chunk_seq_num", F.col("summary").alias("page_content"), "embedding")
+
+
+def _service_hits(s, d, k=8):
+    """The three lists of the service: nearest expected questions, nearest summaries, best documents by words."""
+    asked = questions(s, d).select(F.col("query_id").alias("key"), retrieval.embed(F.col("question")).alias("embedding"))
+    expected = cut_lineage(expected_query_index(s, d).select((F.col("seq_num") * 1_000_000 + F.col("expanded_query_seq_num")).alias("key"), "embedding"))
+    # the chunks of a document share its summary: the first stands for all
+    summary = cut_lineage(intent_summary_index(s, d).where("chunk_seq_num = 0").select(F.col("seq_num").alias("key"), "embedding"))
+    return {
+        "expected": retrieval.nearest(expected, asked, "key", "embedding", k).select("query_id", "rank", F.floor(F.col("id") / 1_000_000).alias("seq_num")),
+        "summary": retrieval.nearest(summary, asked, "key", "embedding", k).select("query_id", "rank", F.col("id").alias("seq_num")),
+        "lexical": _bm25(s, d).select("query_id", "rank", "seq_num"),
+    }
+
+
+def service_fused(s, d):
+    """Documents of every question by the fused score of the three lists, all parts kept."""
+    lists = {n: retrieval.rank_score(h) for n, h in _service_hits(s, d).items()}
+    return rounded(retrieval.fuse(lists, {"expected": 0.3, "summary": 0.4, "lexical": 0.3}))
+
+
+def service_hits(s, d):
+    """The three lists below each other, tagged by their source."""
+    out = None
+    for n, h in _service_hits(s, d).items():
+        one = h.select("query_id", F.lit(n).alias("source"), F.col("rank").cast("int").alias("rank"), F.col("seq_num").cast("long").alias("seq_num"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def top_context(s, d):
-    """Chunks of the two best lexical documents of every question."""
-    top = retrieval.top_documents(_bm25(s, d).drop("rank"), 2, score="score")
+    """Chunks of the two documents of every question that have the highest fused score."""
+    top = cut_lineage(retrieval.top_documents(service_fused(s, d), 2))
     kept = documents(s, d).join(top.select(F.col("seq_num").alias("doc_id")).distinct(), "doc_id", "left_semi")
     chunks = text.split_documents(kept, "text", ["doc_id"]).select(F.col("doc_id").alias("seq_num"), "chunk_seq_num", "page_content")
-    return retrieval.build_context(top, chunks)
+    return retrieval.build_context(top.select("query_id", "rank", "seq_num"), chunks)
+
+
+def compressed_hits(s, d):
+    """Pieces of each question's ten best documents that are near it and not repeated."""
+    hits = retrieval.bm25(documents(s, d), "doc_id", split_tokens(F.col("text")), questions(s, d), "query_id", split_tokens(clean_keywords(F.col("question"))), 10)
+    texts = documents(s, d).select(F.col("doc_id").alias("id"), "text")
+    return rounded(retrieval.compress(hits.select("query_id", "rank", F.col("seq_num").alias("id")), texts, questions(s, d), text.chunks(F.col("text"), 150, 50, text.SENTENCE_SEPARATORS)))
+
+
+def searches(s, d):
+    """One search of each kind over the same vectors, restricted to rows of the query's label and not."""
+    e, q = _queries(s, d)
+    out = None
+    for kind in ("similarity", "mmr", "similarity_score_threshold"):
+        for by in (None, "label"):
+            one = retrieval.search(e, q, "vec_id", "embedding", 10, search_type=kind, filter_by=by).select(F.lit(kind).alias("kind"), F.lit(by is not None).alias("filtered"), "query_id", F.col("rank").cast("int").alias("rank"), "id")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def ranked_lines(s, d):
@@ -149,15 +225,15 @@ def self_check(s, d):
 
 def doc_metadata(s, d):
     m = models.metadata(documents(s, d).where("text is not null").select("doc_id", "text"), "text")
-    return models.intent_summary(m, "text", models.echo_stub).select("doc_id", "sentence_type", "intent", "keywords", "summary")
+    return models.intent_summary(m, "text", models.extract_stub).join(doc_keywords(s, d), "doc_id", "left").select("doc_id", "sentence_type", "intent", "keywords", "summary")
 
 
 def rag_answer(s, d):
-    return models.answer(top_context(s, d), questions(s, d), models.echo_stub)
+    return models.answer(top_context(s, d), questions(s, d), models.extract_stub)
 
 
 QUERIES = {f.__name__: f for f in (
-    doc_chunks, sentence_chunks, tokens, keywords, list_marks_off, query_count, verdicts, document_ids, vector_dimension, knn_l2_top8, knn_filtered, cosine_filter, mmr_top10, redundancy_filter, bm25_top4, rank_score, fused_score, top_documents, top_context, ranked_lines,
+    doc_chunks, sentence_chunks, short_chunks, doc_keywords, tokens, keywords, list_marks_off, query_count, verdicts, document_ids, vector_dimension, knn_l2_top8, knn_filtered, cosine_filter, mmr_top10, redundancy_filter, bm25_top4, rank_score, fused_score, top_documents, searches, expected_query_index, intent_summary_index, service_hits, service_fused, top_context, compressed_hits, ranked_lines,
     expected_queries, self_check, doc_metadata, rag_answer,
 )}
 
@@ -179,7 +255,8 @@ fused AS (SELECT *, expected * 0.3 + summary * 0.4 + lexical * 0.3 AS fused FROM
 ORACLES = {
     "tokens": r"SELECT doc_id, (i - 1)::INT AS pos, t[i] AS token FROM (SELECT doc_id, regexp_split_to_array(title, '[-\n,\s+]') AS t, unnest(generate_series(1, len(regexp_split_to_array(title, '[-\n,\s+]')))) AS i FROM documents WHERE title IS NOT NULL)",
     "keywords": r"SELECT doc_id, regexp_replace(title, '[-,\s]+', ' ', 'g') AS keywords FROM documents WHERE title IS NOT NULL",
-    "list_marks_off": r"SELECT doc_id, array_to_string([regexp_replace(l, '^\s*[-0-9#]+\.\s*', '') FOR l IN string_split(title, chr(10))], chr(10)) AS title FROM documents WHERE title IS NOT NULL",
+    "list_marks_off": r"SELECT doc_id, array_to_string([regexp_replace(l, '^\s*[-\p{Nd}#]+\.\s*', '') FOR l IN string_split(title, chr(10))], chr(10)) AS title FROM documents WHERE title IS NOT NULL",
+    "doc_keywords": r"WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[-\n,\s+]')) AS term FROM documents WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln(n / df), 9) DESC, term) AS r FROM tf JOIN df USING (term), n QUALIFY r <= 5) SELECT doc_id, string_agg(term, ',' ORDER BY r) AS keywords FROM s GROUP BY doc_id",
     "query_count": "SELECT doc_id, (length(text) // 20)::INT AS n FROM documents",
     "verdicts": r"SELECT state_id, coalesce(trim(retry_fetch, E' \n\t\r') IN ('yes', '예'), false) AS kept FROM selfcheck_state",
     "document_ids": "SELECT doc_id, sha256(doc_id || chr(31) || coalesce(title, chr(0))) AS id FROM documents",

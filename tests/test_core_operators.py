@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinewell.functions import scalars as S
-from brinewell.operators import causal, models, profile, regression, reshape, retrieval, text
+from brinewell.operators import causal, cellfits, models, profile, regression, reshape, retrieval, text
 from brinewell.sources import tables
 
 
@@ -91,6 +91,8 @@ def test_least_squares_against_numpy(spark):
     beta, rss = np.linalg.lstsq(X, y, rcond=None)[:2]
     assert fit.beta == pytest.approx(beta, rel=1e-6) and fit.n == 200
     se = np.sqrt(np.diag(np.linalg.inv(X.T @ X)) * rss[0] / 197)
+    p = [r[4] for r in fit.rows()]
+    assert p[1] < 1e-6 and regression.t_chance(1.9721, 197) == pytest.approx(0.975, abs=1e-4) and regression.t_chance(2.0, 5) == pytest.approx(0.949030, abs=1e-5) and regression.t_chance(1.96, 9000) == pytest.approx(0.975, abs=1e-4)
     assert fit.se == pytest.approx(se, rel=1e-4) and fit.critical == pytest.approx(1.9721, abs=1e-3)
     e = y - X @ beta
     meat = sum(np.outer(s, s) for s in (X[g == k].T @ e[g == k] for k in range(12)))
@@ -112,6 +114,21 @@ def test_logistic_paths_agree(spark, monkeypatch):
     assert (t - p).sum() == pytest.approx(0, abs=1e-6) and (x * (t - p)).sum() == pytest.approx(0, abs=1e-6)
 
 
+def test_logistic_with_large_covariates(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    year = r.integers(1995, 2024, 500)
+    t = (r.uniform(size=500) < 1 / (1 + np.exp(-0.3 * (year - 2012)))).astype(int)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(year, t)], "year int, t int")
+    X = np.stack([np.ones(500), year - 2012.0], 1)
+    want = numpy_logit(X, t)
+    for cells in (20_000, 5):
+        monkeypatch.setattr(regression, "MAX_CELLS", cells)
+        fit = regression.logit(df, "t ~ year")
+        assert 1 / (1 + np.exp(-(fit.beta[0] + fit.beta[1] * year))) == pytest.approx(want, abs=1e-6)
+        inv = np.linalg.inv((X * (want * (1 - want))[:, None]).T @ X)
+        assert fit.se[1] == pytest.approx(math.sqrt(inv[1, 1]), rel=1e-4) and all(fit.identified)
+
+
 def test_matching_ties(spark):
     rows = [(1, 1, 0.5, 10.0), (2, 1, 0.5, 20.0), (3, 0, 0.4, 1.0), (4, 0, 0.6, 2.0), (5, 0, 0.4, 9.0), (6, 0, 0.9, 5.0), (7, 1, None, 1.0)]
     df = spark.createDataFrame(rows, "id long, t int, ps double, y double")
@@ -145,16 +162,61 @@ def test_weights_agree(spark):
     assert causal.ipw(edge, "y", "t", "ps").first()["n"] == 2
 
 
-def test_bootstrap_is_repeatable(spark):
-    df = spark.createDataFrame([(i, float(i % 10)) for i in range(500)], "id long, y double")
-    run = lambda d: {r["round"]: r["m"] for r in causal.bootstrap_rows(d, "id", lambda w: {"m": F.sum(w * F.col("y")) / F.sum(w)}, rounds=20).collect()}
-    a, b = run(df), run(df.repartition(3))
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a) and len(set(a.values())) > 10
-    w = spark.range(20000).select(causal.poisson_weight(F.col("id"), F.lit(0), 1).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
-    assert w[0] == pytest.approx(1, abs=0.03) and w[1] == pytest.approx(1, abs=0.06)
-    units = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "u string, s double")
-    got = causal.bootstrap_blocks(units, "u", lambda w: {"s": F.sum(w * F.col("s"))}, rounds=50).collect()
-    assert {r["identified"] for r in got} == {True, False}
+def numpy_logit(X, t):
+    b = np.zeros(X.shape[1])
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-X @ b))
+        b = b + np.linalg.pinv((X * (q * (1 - q))[:, None]).T @ X) @ (X.T @ (t - q))
+    return 1 / (1 + np.exp(-X @ b))
+
+
+def test_bootstrap_of_fitted_estimators(spark):
+    r = np.random.default_rng(8)
+    n, rounds = 400, 12
+    g, x = r.integers(0, 3, n), r.integers(0, 4, n)
+    t = (r.uniform(size=n) < 0.3 + 0.1 * g).astype(int)
+    y = 1.0 * t + g - 0.5 * x + r.normal(0, 1, n)
+    df = spark.createDataFrame([(i, "abc"[g[i]], int(x[i]), int(t[i]), float(y[i])) for i in range(n)], "id long, g string, x int, t int, y double")
+    ipw = cellfits.ipw_ate("t ~ C(g) + x", ["g", "x"], "t", "y")
+    dr = cellfits.doubly_robust_ate("t ~ C(g) + x", ["g", "x"], "t", "y")
+    draws = causal.poisson_draws(np.arange(n), rounds, 123)
+    X = np.stack([np.ones(n), g == 1, g == 2, x], 1).astype(float)
+    for fit, robust in ((ipw, False), (dr, True)):
+        for parts in (1, 5):
+            got = {k["round"]: k["estimate"] for k in causal.bootstrap_rows(df.repartition(parts), "id", ["g", "x", "t"], "y", fit, rounds=rounds).collect()}
+            for k in range(rounds):
+                at = np.repeat(np.arange(n), draws[:, k])  # the rows themselves, as often as drawn
+                Xk, tk, yk = X[at], t[at], y[at]
+                ps = numpy_logit(Xk, tk)
+                if robust:
+                    m1, m0 = (Xk @ np.linalg.lstsq(Xk[tk == a], yk[tk == a], rcond=None)[0] for a in (1, 0))
+                    want = np.mean(tk * (yk - m1) / ps + m1) - np.mean((1 - tk) * (yk - m0) / (1 - ps) + m0)
+                else:
+                    want = np.mean((tk - ps) / (ps * (1 - ps)) * yk)
+                assert got[k] == pytest.approx(want, abs=1e-6)
+    w = causal.poisson_draws(np.arange(20000), 2, 1)
+    assert w.mean() == pytest.approx(1, abs=0.03) and w.var() == pytest.approx(1, abs=0.06) and abs(np.corrcoef(w.T)[0, 1]) < 0.03
+    assert causal.bootstrap_rows(df.limit(0), "id", ["g", "x", "t"], "y", ipw).collect() == []
+
+
+def test_block_bootstrap_against_numpy(spark):
+    r = np.random.default_rng(9)
+    rows = [(f"u{i % 6}", int(i % 6 < 3), int(i % 4 // 2), 2000 + i % 4, float(r.normal() + (i % 6 < 3) * (i % 4 // 2))) for i in range(300)] + [(None, 1, 1, 2000, 5.0)]
+    df = spark.createDataFrame(rows, "u string, treated int, post int, year int, y double")
+    fit = cellfits.coefficient("y ~ treated:post + C(treated) + C(year)", "treated:post", "y")
+    got = {k["round"]: k for k in causal.bootstrap_blocks(df, "u", ["treated", "post", "year"], "y", fit, rounds=25, seed=5).collect()}
+    draws = causal.block_draws([f"u{i}" for i in range(6)], 25, 5)
+    for k in range(25):
+        own = [x for rd, u, n in draws if rd == k for _ in range(n) for x in rows if x[0] == u]
+        T, P, Y, y = (np.array([x[i] for x in own], float) for i in (1, 2, 3, 4))
+        X = np.stack([np.ones(len(T)), T, *[(Y == v) for v in (2001, 2002, 2003)], T * P], 1).astype(float)
+        assert got[k]["n_units"] == len({x[0] for x in own})
+        if abs((np.linalg.pinv(X) @ X)[5, 5] - 1) < 1e-6:
+            assert got[k]["estimate"] == pytest.approx(np.linalg.lstsq(X, y, rcond=None)[0][5], abs=1e-8)
+        else:
+            assert got[k]["estimate"] is None
+    one = causal.bootstrap_blocks(df.where("u = 'u0'"), "u", ["treated", "post", "year"], "y", fit, rounds=3).collect()
+    assert {x["identified"] for x in one} == {False}
 
 
 def test_retrieval(spark):
@@ -197,10 +259,54 @@ def test_chunks_stay_within_the_size(size, overlap, seps):
 def test_self_check_rounds(spark):
     docs = spark.createDataFrame([(1, "Alpha beta gamma. Delta epsilon zeta. Eta theta iota. Kappa."), (2, "short"), (3, None)], "id long, text string")
     few = lambda ps: ["1. Alpha beta gamma?" for _ in ps]
-    got = {r["id"]: (len(r["queries"]), r["round"], r["done"]) for r in models.self_check(docs, "id", "text", [few, models.question_stub], models.check_stub).collect()}
-    assert got[1] == (3, 2, True) and got[2] == (0, 3, False)
+    rows = {r["id"]: r for r in models.self_check(docs, "id", "text", [few, models.question_stub], models.check_stub).collect()}
+    got = {i: (len(r["queries"]), r["round"], r["done"]) for i, r in rows.items()}
+    assert got[1] == (3, 2, True) and got[2] == (0, 3, False) and len({r["thread_id"] for r in rows.values()}) == 3
     never = models.self_check(docs.where("id = 1"), "id", "text", few, models.check_stub, max_rounds=2).first()
     assert (never["round"], never["done"]) == (2, False)
+    seen = []
+
+    def spy(ps):
+        return [f"calls {len(ps)}"] * len(ps)
+
+    one = models.verify_queries(spark.createDataFrame([("A b. C d.", ["A b?", "x?", "C\nd?", None])], "t string, q array<string>"), "t", "q", models.check_stub).first()
+    assert one["valid"] == ["A b?", "C\nd?"] and not seen and spy(["a"]) == ["calls 1"]
+
+
+def test_model_stand_ins_read_the_text():
+    ask = models.ANSWER_PROMPT.replace("{context}", "The net is blue. The boat left Alva Bay at six.\n\nIt rained.").replace("{question}", "When did the boat leave Alva Bay?")
+    assert models.extract_stub([ask]) == ["The boat left Alva Bay at six"]
+    assert models.extract_stub([models.OTHER_PROMPT.replace("{text}", "Fibres sink. Fibres of rope sink fast in the bay. It rained.")])[0].startswith("Fibres")
+    assert models.extract_stub([models.OTHER_PROMPT.replace("{text}", "")]) == [""]
+
+
+def test_intents_and_keywords(spark):
+    df = spark.createDataFrame([(1, "이 영향은 크다"), (2, "대응 계획"), (3, "현상과 영향"), (4, "x"), (5, None)], "id long, text string")
+    assert {r["id"]: r["intent"] for r in models.metadata(df, "text").collect()} == {1: "영향", 2: "대응", 3: "현상", 4: "기타", 5: "기타"}
+    k = {r["id"]: r["keywords"] for r in models.keyword_terms(spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, None), (4, "")], "id long, text string"), "id", S.split_tokens(F.col("text")), 2).collect()}
+    assert k == {1: "b,a", 2: "c,a"}
+
+
+def test_separators_go_with_what_follows():
+    assert text._parts("a\nbb\nccc", 3, ("\n",)) == ["a", "\nbb", "\n", "ccc"] or text._parts("a\nbb\nccc", 4, ("\n",)) == ["a", "\nbb", "\nccc"]
+    assert text.chunk("aaa bbb,ccc", 4, 0, text.SENTENCE_SEPARATORS) == ["aaa", "bbb", ",ccc"]
+
+
+def test_embedding_search_and_compression(spark):
+    v = retrieval.hashed_words(["the net is blue", "The NET, is blue!", "", "a boat"])
+    assert np.allclose(v[0], v[1]) and np.linalg.norm(v[0]) == pytest.approx(1) and not v[2].any()
+    docs = spark.createDataFrame([(1, "nets are blue and nets are blue. boats sail far away from here"), (2, "nets are blue"), (3, "fibres sink in water"), (4, None)], "id long, text string")
+    q = spark.createDataFrame([(7, "nets are blue")], "query_id long, question string")
+    hits = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "query_id long, rank int, id long")
+    got = retrieval.compress(hits, docs, q, F.split("text", r"\. "), redundant=0.95, relevant=0.5).orderBy("rank").collect()
+    # the second document repeats the first one's sentence, the rest is off the question
+    assert [(r["id"], r["piece_no"]) for r in got] == [(1, 0)] and got[0]["query_similarity_score"] > 0.9
+    e = docs.where("text is not null").select("id", retrieval.embed(F.col("text")).alias("v"))
+    assert [r["id"] for r in retrieval.search(e, e.where("id = 2"), "id", "v", 2).orderBy("rank").collect()] == [2, 1]
+    assert retrieval.search(e, e.where("id = 2"), "id", "v", 2, search_type="mmr").count() == 2
+    assert [r["id"] for r in retrieval.search(e, e.where("id = 3"), "id", "v", 3, search_type="similarity_score_threshold").collect()] == [3]
+    with pytest.raises(ValueError):
+        retrieval.search(e, e, "id", "v", search_type="other")
 
 
 def test_sources(spark, tmp_path):

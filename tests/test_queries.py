@@ -9,6 +9,8 @@ import pytest
 from brinewell.plans import catalogue
 
 FOLDER = os.environ.get("BRINEWELL_TABLES", "/root/testdata/sf0.001")
+#: Queries that may find nothing on the smallest tables.
+EMPTY = {"p4_unit_shifts", "redundancy_filter", "compressed_hits"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
@@ -40,6 +42,13 @@ def test_query(spark, duck, name):
     rows = sorted("|".join(text(r[c]) for c in cols) for r in df.collect())
     sql = catalogue.oracle_sql().get(name)
     if sql is None:
+        # no SQL can say it (operators are held against numpy or brute force elsewhere): the result is there, of a
+        # stable schema, and the same when it is computed again
+        assert cols and len(set(cols)) == len(cols)
+        assert rows or name in EMPTY
+        again = catalogue.queries()[name](spark, FOLDER)
+        assert again.dtypes == df.dtypes
+        assert sorted("|".join(text(r[c]) for c in cols) for r in again.collect()) == rows
         return
     cur = duck.execute(sql)
     names = [d[0] for d in cur.description]
