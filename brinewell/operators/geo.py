@@ -3,8 +3,9 @@
 Regions are triangulated ring by ring with ear clipping; triangles and radius
 discs go into a bounding-volume hierarchy that every task holds (its size is
 checked first), batches of points descend it together, and each candidate is
-tested exactly.  Sites over the bound go through :func:`near_sites_join`, a
-salted cell join without any broadcast of the sites.
+tested exactly.  Stations and triangles over the bound go through
+:func:`near_sites_join` and :func:`containing_regions_join`, salted cell joins
+without any broadcast of the sites.
 
 Defined results: a null coordinate, NaN, a latitude outside -90..90 or a
 longitude outside -180..360 gives no row; repeated points give a row each; a
@@ -34,10 +35,13 @@ def _cross(a, b, c) -> float:
 
 
 def ear_clip(ring: list[tuple[float, float]]) -> list[tuple]:
-    """Triangles of one simple ring (implicitly closed, either direction).
+    """Triangles of one ring (implicitly closed, either direction).
 
     Consecutive equal vertices are merged; a ring of under three distinct
-    vertices or without area has no triangles.
+    vertices or without area has no triangles.  Only reflex vertices can lie in an
+    ear, and clipping goes on where the last ear was, so most vertices are tested
+    once, against the reflex ones together.  A ring that crosses itself has no ears
+    in the end: what is left of it is cut into slabs, its inside by the even-odd rule.
     """
     pts = [p for i, p in enumerate(ring) if i == 0 or p != ring[i - 1]]
     if len(pts) > 1 and pts[0] == pts[-1]:
@@ -45,38 +49,81 @@ def ear_clip(ring: list[tuple[float, float]]) -> list[tuple]:
     if len(pts) < 3:
         return []
     area2 = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(pts, pts[1:] + pts[:1]))
-    if area2 == 0:
-        return []
+    ways = [math.atan2(q[1] - p[1], q[0] - p[0]) for p, q in zip(pts, pts[1:] + pts[:1])]
+    turned = sum(math.remainder(b - a, 2 * math.pi) for a, b in zip(ways, ways[1:] + ways[:1]))
+    if area2 == 0 or abs(abs(turned) - 2 * math.pi) > 1:  # a simple ring turns once
+        return slabs(pts)
     if area2 < 0:
         pts.reverse()
-    left = list(range(len(pts)))
-    out = []
+    n = len(pts)
+    xy = np.array(pts, float)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    before[0], after[n - 1] = n - 1, 0
+    turn = lambda i: _cross(pts[before[i]], pts[i], pts[after[i]])
+    reflex = np.array([turn(i) < 0 for i in range(n)])
 
     def is_ear(i: int) -> bool:
-        a, b, c = (pts[left[j % len(left)]] for j in (i - 1, i, i + 1))
+        a, b, c = pts[before[i]], pts[i], pts[after[i]]
         if _cross(a, b, c) <= 0:
             return False
-        for k in left:
-            p = pts[k]
-            if p in (a, b, c):
-                continue
-            if _cross(a, b, p) >= 0 and _cross(b, c, p) >= 0 and _cross(c, a, p) >= 0:
-                return False
-        return True
-
-    while len(left) > 3:
-        for i in range(len(left)):
-            if is_ear(i):
-                out.append(tuple(pts[left[j % len(left)]] for j in (i - 1, i, i + 1)))
-                del left[i]
-                break
-        else:
-            flat = next((i for i in range(len(left)) if _cross(*(pts[left[j % len(left)]] for j in (i - 1, i, i + 1))) == 0), None)
-            if flat is None:
-                raise ValueError("ring crosses itself")
-            del left[flat]
-    if _cross(*(pts[k] for k in left)) > 0:
-        out.append(tuple(pts[k] for k in left))
+        r = xy[reflex]
+        if not len(r):
+            return True
+        x, y = r[:, 0], r[:, 1]
+        side = lambda u, v: (v[0] - u[0]) * (y - u[1]) - (v[1] - u[1]) * (x - u[0])
+        inside = (side(a, b) >= 0) & (side(b, c) >= 0) & (side(c, a) >= 0)
+        if inside.any():
+            corner = ((x == a[0]) & (y == a[1])) | ((x == b[0]) & (y == b[1])) | ((x == c[0]) & (y == c[1]))
+            inside &= ~corner
+        return not inside.any()
+
+    out, left, i, missed = [], n, 0, 0
+    while left > 3:
+        flat = turn(i) == 0
+        if flat or is_ear(i):
+            a, c = before[i], after[i]
+            if not flat:
+                out.append((pts[a], pts[i], pts[c]))
+            after[a], before[c] = c, a
+            reflex[i] = False
+            for k in (a, c):
+                reflex[k] = turn(k) < 0
+            left, missed, i = left - 1, 0, c
+            continue
+        i, missed = after[i], missed + 1
+        if missed > left:
+            rest, k = [], i
+            for _ in range(left):
+                rest.append(pts[k])
+                k = after[k]
+            return out + slabs(rest) if not out else slabs(pts)
+    last = (pts[before[i]], pts[i], pts[after[i]])
+    if _cross(*last) > 0:
+        out.append(last)
+    return out
+
+
+def slabs(pts: list[tuple[float, float]]) -> list[tuple]:
+    """Triangles of the inside, by the even-odd rule, of a ring that may cross itself: cut at the height of every
+    vertex and crossing, each slab holds pairs of edges that do not meet."""
+    edges = [(p, q) if p[1] < q[1] else (q, p) for p, q in zip(pts, pts[1:] + pts[:1]) if p[1] != q[1]]
+    cuts = {p[1] for p in pts}
+    for i, (a, b) in enumerate(edges):
+        for c, d in edges[:i]:
+            den = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+            if den:
+                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / den
+                y = a[1] + t * (b[1] - a[1])
+                if 0 < t < 1 and c[1] < y < d[1]:
+                    cuts.add(y)
+    at = lambda e, y: e[0][0] + (y - e[0][1]) / (e[1][1] - e[0][1]) * (e[1][0] - e[0][0])
+    out, heights = [], sorted(cuts)
+    for low, high in zip(heights, heights[1:]):
+        mid = (low + high) / 2
+        across = sorted((e for e in edges if e[0][1] < mid < e[1][1]), key=lambda e: at(e, mid))
+        for u, v in zip(across[::2], across[1::2]):
+            ll, lr, hr, hl = (at(u, low), low), (at(v, low), low), (at(v, high), high), (at(u, high), high)
+            out += [t for t in ((ll, lr, hr), (ll, hr, hl)) if _cross(*t) > 0]
     return out
 
 
@@ -277,20 +324,24 @@ def near_sites(
 
     One pass over the points, no shuffle: the hierarchies over stations and
     triangles are held by every task (both are checked against their bound;
-    more stations go through :func:`near_sites_join`).
+    more go through cell joins with the same results).
     """
     spark = points.sparkSession
     discs = tris = None
-    extra = None
+    extra = []
     if stations is not None:
         placed = stations.where(F.col(station_id).isNotNull() & valid_position(F.col("longitude"), F.col("latitude"))).select(station_id, "longitude", "latitude")
         try:
             rows = bounded_rows(placed, max_stations, "stations")
             discs = DiscIndex([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], radius_km) if rows else None
         except TooLarge:
-            extra = near_sites_join(points, point_id, placed, station_id, radius_km, lon=lon, lat=lat)
+            extra.append(near_sites_join(points, point_id, placed, station_id, radius_km, lon=lon, lat=lat))
     if regions is not None:
-        rows = bounded_rows(region_triangles(regions), max_triangles, "triangles")
+        try:
+            rows = bounded_rows(region_triangles(regions), max_triangles, "triangles")
+        except TooLarge:
+            rows = []
+            extra.append(containing_regions_join(points, point_id, region_triangles(regions), lon=lon, lat=lat))
         if rows:
             tris = RegionIndex([r["region_id"] for r in rows], [r["is_hole"] for r in rows], [[[r[f"x{i}"], r[f"y{i}"]] for i in (1, 2, 3)] for r in rows])
     shared = spark.sparkContext.broadcast((discs, tris))
@@ -317,8 +368,8 @@ def near_sites(
         F.col(point_id).cast("long").alias("point_id"), wrapped(F.col(lon).cast("double")).alias("lon"), F.col(lat).cast("double").alias("lat")
     )
     found = placed_points.mapInArrow(find, "point_id long, site_kind string, site_id int")
-    if extra is not None:
-        found = found.unionByName(extra)
+    for more in extra:
+        found = found.unionByName(more)
     return found.withColumnRenamed("point_id", point_id)
 
 
@@ -349,5 +400,32 @@ def near_sites_join(points: DataFrame, point_id: str, sites: DataFrame, site_id:
         p.join(s, ["_r", "_c", "_s"])
         .where(2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h))) <= radius_km)
         .select("point_id", F.lit("station").alias("site_kind"), "site_id")
-        .distinct()
     )
+
+
+#: Finest cells of the region join are 360 / 2**FINEST degrees wide.
+FINEST = 20
+
+
+def containing_regions_join(points: DataFrame, point_id: str, triangles: DataFrame, *, lon: str = "longitude", lat: str = "latitude", salt: int = 16) -> DataFrame:
+    """The region of each point for triangles of any number: an equi-join on cells of a hierarchy, nothing broadcast.
+
+    A triangle is filed at the level whose cells are just larger than its box, so
+    in at most four cells; a point is looked up in its cell of every level that
+    occurs.  Points are salted, so a crowded cell is spread over ``salt`` tasks.
+    """
+    t = triangles.withColumns({"_x0": F.least("x1", "x2", "x3"), "_x1": F.greatest("x1", "x2", "x3"), "_y0": F.least("y1", "y2", "y3"), "_y1": F.greatest("y1", "y2", "y3")})
+    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-9))
+    t = t.withColumn("_l", F.least(F.lit(FINEST), F.greatest(F.lit(0), F.floor(F.log2(F.lit(360.0) / extent)))).cast("int"))
+    cell = lambda v, level: F.floor(v * F.pow(F.lit(2.0), level) / 360.0)
+    levels = [r[0] for r in t.select("_l").distinct().collect()]  # at most FINEST + 1 numbers
+    t = t.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), F.col("_l")), cell(F.col("_x1"), F.col("_l"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), F.col("_l")), cell(F.col("_y1"), F.col("_l")))))
+    t = t.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    p = points.where(valid_position(F.col(lon), F.col(lat))).select(F.col(point_id).cast("long").alias("point_id"), F.monotonically_increasing_id().alias("_row"), wrapped(F.col(lon)).alias("_px"), F.col(lat).alias("_py"))
+    # rings that cross the date line are unwrapped, so every point is looked up at its place and a turn to both sides
+    p = p.withColumn("px", F.explode(F.array(F.col("_px") - 360, F.col("_px"), F.col("_px") + 360))).withColumn("_l", F.explode(F.lit(levels).cast("array<int>")))
+    p = p.withColumns({"_cx": cell(F.col("px"), F.col("_l")), "_cy": cell(F.col("_py"), F.col("_l")), "_s": F.pmod(F.xxhash64("point_id"), F.lit(salt))})
+    side = lambda i, j: (F.col(f"x{j}") - F.col(f"x{i}")) * (F.col("_py") - F.col(f"y{i}")) - (F.col(f"y{j}") - F.col(f"y{i}")) * (F.col("px") - F.col(f"x{i}")) >= 0
+    hit = p.join(t, ["_l", "_cx", "_cy", "_s"]).where(side(1, 2) & side(2, 3) & side(3, 1))
+    inside = hit.groupBy("point_id", "_row", "region_id").agg(F.max("is_hole").alias("_hole")).where("not _hole")
+    return inside.groupBy("point_id", "_row").agg(F.min("region_id").alias("site_id")).select("point_id", F.lit("region").alias("site_kind"), F.col("site_id").cast("int").alias("site_id"))

@@ -29,6 +29,29 @@ def test_triangles_fill_the_ring(seed):
         assert sum(map(area, tri)) == pytest.approx(shoelace)
 
 
+@pytest.mark.parametrize("ring", [[(0, 0), (4, 4), (4, 0), (0, 4)], [(math.sin(4 * math.pi * i / 5), math.cos(4 * math.pi * i / 5)) for i in range(5)], [(0, 0), (6, 0), (6, 4), (2, 4), (2, -2), (4, -2), (4, 6), (0, 6)]])
+def test_crossed_rings_are_even_odd(ring):
+    tri = ear_clip(ring)
+    r = random.Random(1)
+    hits = 0
+    for _ in range(3000):
+        x, y = r.uniform(-2, 7), r.uniform(-3, 7)
+        within = sum(all((v[0] - u[0]) * (y - u[1]) - (v[1] - u[1]) * (x - u[0]) >= 0 for u, v in zip(t, t[1:] + t[:1])) for t in tri)
+        assert (within > 0) == inside(ring, x, y)
+        hits += within > 0
+    assert hits
+
+
+def test_rings_of_many_vertices():
+    import time
+
+    ring = star(6000, 5)
+    began = time.time()
+    tri = ear_clip(ring)
+    assert time.time() - began < 20 and len(tri) <= len(ring) - 2
+    assert sum(map(area, tri)) == pytest.approx(abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))) / 2)
+
+
 def test_degenerate_rings():
     assert ear_clip([]) == [] and ear_clip([(0, 0), (1, 1)]) == [] and ear_clip([(0, 0), (1, 1), (2, 2)]) == []
 
@@ -74,7 +97,9 @@ def test_against_brute_force(spark):
                 want.append((i, "region", rid))
     assert got == sorted(want)
     joined = sorted(map(tuple, near_sites_join(p, "obs_id", s, "station_id", 300.0).collect()))
-    assert joined == sorted({w for w in want if w[1] == "station"})
+    assert joined == sorted(w for w in want if w[1] == "station")
+    by_cells = sorted(map(tuple, near_sites(p, "obs_id", regions=g, max_triangles=3).collect()))
+    assert by_cells == sorted(w for w in want if w[1] == "region") and by_cells
     forced = sorted(map(tuple, near_sites(p, "obs_id", stations=s, radius_km=300.0, max_stations=3).collect()))
     assert forced == joined
 
