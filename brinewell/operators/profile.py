@@ -6,10 +6,13 @@ tables give empty results (scalar profiles one row of nulls).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import inside, scaled_ceil
+from ..runtime import spill_table
 
 SCAN_POINTS = [i / 200 for i in range(200)]
 
@@ -23,22 +26,63 @@ def group_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.min(v).alias(f"{value}_min"), F.max(v).alias(f"{value}_max"), F.avg(v).alias(f"{value}_mean"), F.stddev_samp(v).alias(f"{value}_std"))
 
 
+def _at_ranks(points: list[float], keys: list[str]):
+    """Rows whose run of equal values covers a rank that some point needs, once for each such rank."""
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column("_total").to_numpy()
+            stop = batch.column("_before").to_numpy() + batch.column("_run").to_numpy()
+            start = stop - batch.column("_n").to_numpy()
+            rows, ranks = [], []
+            for n in np.unique(total).tolist():
+                at = (n - 1) * np.asarray(points)
+                wanted = np.unique(np.concatenate([np.floor(at), np.ceil(at)]).astype(np.int64))
+                own = np.flatnonzero(total == n)
+                first, last = np.searchsorted(wanted, start[own]), np.searchsorted(wanted, stop[own])
+                for i, a, b in zip(own[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist()):
+                    rows += [i] * (b - a)
+                    ranks += wanted[a:b].tolist()
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in keys), pa.array(ranks, pa.int64()), batch.column("_v").take(take)], names=[*keys, "_rank", "_v"])
+
+    return run
+
+
 def group_quantiles(df: DataFrame, value: str, keys: list[str], points: list[float]) -> DataFrame:
-    """(keys..., q, value): exact, linearly interpolated; one job for all points.
+    """(keys..., q, value): exact, linearly interpolated, all points at once; without keys, of the whole table.
 
-    Exact percentiles count distinct values, merged from map-side partial counts.
+    Distinct values are counted on the map side, sorted by range over all tasks, and
+    placed by counts per range, so no task ever holds the values of a group.
     """
-    got = df.na.drop(subset=keys).groupBy(*keys).agg(F.percentile(F.col(value), F.array(*map(F.lit, points))).alias("_p"))
-    at = F.array(*map(F.lit, points))
-    return got.select(*keys, F.posexplode("_p").alias("_i", "value")).select(*keys, F.element_at(at, F.col("_i") + 1).alias("q"), "value")
+    kinds = dict(df.dtypes)
+    counted = df.na.drop(subset=keys) if keys else df
+    counted = counted.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # written once: counts and places must see the same ranges
+    part = spill_table(counted.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()), "values")
+    sums = part.groupBy("_p", *keys).agg(F.sum("_n").alias("_m"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    # one row for each range and group
+    offsets = sums.select("_p", *keys, F.coalesce(F.sum("_m").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias("_total"))
+    run = part.withColumn("_run", F.sum("_n").over(Window.partitionBy("_p", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    ddl = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "_rank long, _v double"
+    found = run.join(offsets, ["_p", *keys]).select(*keys, "_v", "_n", "_run", "_before", "_total").mapInArrow(_at_ranks(points, keys), ddl)
+    # a group's few ranks, as a map
+    ranked = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
+    totals = offsets.groupBy(*keys).agg(F.max("_total").alias("_total"))
+    both = ranked.join(totals, keys) if keys else ranked.join(F.broadcast(totals))
+    at = both.select(*keys, "_at", "_total", F.explode(F.array(*map(F.lit, points))).alias("q")).withColumn("_pos", (F.col("_total") - 1) * F.col("q"))
+    low, high = F.col("_at")[F.floor("_pos")], F.col("_at")[F.ceil("_pos")]
+    part_ = F.col("_pos") - F.floor("_pos")
+    return at.select(*keys, "q", F.when((part_ == 0) | (low == high), low).otherwise((1 - part_) * low + part_ * high).alias("value"))
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max")).select(
-        "count", "mean", "std", "min", *[F.element_at("_q", i + 1).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max"
-    )
+    moments = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    q = group_quantiles(df, value, [], list(names)).agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for p, n in names.items()])
+    return moments.join(F.broadcast(q)).select("count", "mean", "std", "min", *names.values(), "max")
 
 
 def _bins(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -70,12 +114,9 @@ def zscore(df: DataFrame, value: str, out: str = "normed") -> DataFrame:
 
 def quantile_scan(df: DataFrame, value: str, low: float, high: float, points: list[float] | None = None) -> DataFrame:
     """One row (low_value, low_q, high_value, high_q): the first grid quantile above ``low``
-    from below, and the first below ``high`` from above. One percentile call for the grid;
+    from below, and the first below ``high`` from above. One pass for the grid;
     NaN values are left out, infinities take part."""
-    grid = points or SCAN_POINTS
-    p = df.where(~F.isnan(value)).agg(F.percentile(F.col(value), F.array(*map(F.lit, grid))).alias("_p"))
-    at = F.array(*map(F.lit, grid))
-    rows = p.select(F.posexplode_outer("_p").alias("_i", "v")).select(F.element_at(at, F.col("_i") + 1).alias("q"), "v")
+    rows = group_quantiles(df.where(~F.isnan(value)), value, [], points or SCAN_POINTS).select("q", F.col("value").alias("v"))
     up, down = (F.col("v") > low) & ~F.isnan("v"), (F.col("v") < high) & ~F.isnan("v")
     return rows.agg(
         F.min_by("v", F.when(up, F.col("q"))).alias("low_value"), F.min(F.when(up, F.col("q"))).alias("low_q"), F.max_by("v", F.when(down, F.col("q"))).alias("high_value"), F.max(F.when(down, F.col("q"))).alias("high_q")

@@ -221,12 +221,13 @@ def compress(hits: DataFrame, texts: DataFrame, queries: DataFrame, split: Colum
 # -- BM25 -----------------------------------------------------------------------------------------
 
 
-def bm25(docs: DataFrame, doc_id: str, tokens: Column, questions: DataFrame, question_id: str, question_tokens: Column, k: int = 4, *, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.0) -> DataFrame:
+def bm25(docs: DataFrame, doc_id: str, tokens: Column, questions: DataFrame, question_id: str, question_tokens: Column, k: int = 4, *, k1: float = 1.5, b: float = 0.75, idf_floor: float = 0.0, salt: int = 16) -> DataFrame:
     """(query_id, rank, seq_num, score): the k best documents of every question.
 
     Only terms of questions are exploded into postings (semi-join before any
     aggregation); lengths and their mean come from the token arrays. Empty tokens
-    do not count. A question's repeated term counts each time.
+    do not count. A question's repeated term counts each time. Postings of a term are
+    spread over ``salt`` tasks by their document, and the questions' terms copied to each.
     """
     q = questions.select(F.col(question_id).cast("long").alias("query_id"), F.explode(question_tokens).alias("term")).where("term <> ''").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     toks = docs.select(F.col(doc_id).cast("long").alias("seq_num"), F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t != "").alias("_t")).withColumn("dl", F.size("_t"))
@@ -237,7 +238,8 @@ def bm25(docs: DataFrame, doc_id: str, tokens: Column, questions: DataFrame, que
     idf = F.greatest(F.lit(float(idf_floor)), F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avgdl")))
     weights = df.join(F.broadcast(stats)).withColumn("idf", idf).where("idf > 0").select("term", "idf", "_avgdl")
-    scored = postings.join(weights, "term").join(q, "term").groupBy("query_id", "seq_num").agg(F.sum(part).alias("score"))
+    asked = weights.join(q, "term").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    scored = postings.withColumn("_s", F.pmod(F.xxhash64("seq_num"), F.lit(salt))).join(asked, ["term", "_s"]).groupBy("query_id", "seq_num").agg(F.sum(part).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "seq_num")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "seq_num", "score")
 

@@ -38,6 +38,15 @@ def test_profiles(spark):
     assert {tuple(r) for r in profile.group_size(df, "k").collect()} == {("a", 4), ("b", 1)}
     q = {(r["k"], r["q"]): r["value"] for r in profile.group_quantiles(df, "v", ["k"], [0.25, 0.5]).collect()}
     assert q[("a", 0.25)] == 1.75 and q[("a", 0.5)] == 3.0
+    r = np.random.default_rng(3)
+    many = [("abc"[int(k)], float(v)) for k, v in zip(r.integers(0, 3, 3000), np.round(r.normal(0, 5, 3000), 1))] + [("a", -math.inf), ("a", math.inf), ("d", 7.0), ("e", None)]
+    for parts in (1, 9):
+        big = spark.createDataFrame(many, "k string, v double").repartition(parts)
+        got = {(x["k"], x["q"]): x["value"] for x in profile.group_quantiles(big, "v", ["k"], [0.0, 0.1, 0.5, 0.999, 1.0]).collect()}
+        want = {(k, x): float(np.quantile([v for j, v in many if j == k], x)) for k in "abcd" for x in (0.1, 0.5, 0.999)}
+        assert {k: v for k, v in got.items() if k in want} == pytest.approx(want) and got[("a", 0.0)] == -math.inf and got[("a", 1.0)] == math.inf and len(got) == 20
+        whole = {x["q"]: x["value"] for x in profile.group_quantiles(big, "v", [], [0.25, 0.75]).collect()}
+        assert whole == pytest.approx({x: float(np.quantile([v for _, v in many if v is not None], x)) for x in (0.25, 0.75)})
     h = profile.histogram(df, "v", 7).orderBy("bin").collect()
     assert [(r["bin"], r["count"]) for r in h] == [(0, 2), (1, 1), (3, 1), (6, 1)]
     inf = spark.createDataFrame([(x,) for x in (-math.inf, -math.inf, -3.0, -1.0, 0.0, 0.0, 0.0)], "v double")
