@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from brinewell.runtime import spill_table
 
+from .batches import slices
 from .nearcopies import gram_hashes
 
 LIST_MARK = regex.compile(r"^[\s\p{Cf}]*(?:(?:\(?\p{N}{1,3}[.):]|[-*•·–—▪◦‣]|[Qq]\s?\p{N}{0,3}\s?[.:)]|[①-⑳])[\s\p{Cf}]*)?")
@@ -78,20 +79,20 @@ ASKING = regex.compile(
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}]+)?")
 _TOKEN = regex.compile(r"[\p{IsLatin}\p{N}\p{IsDevanagari}\p{M}]+|[\p{L}]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-_QUOTES = dict.fromkeys(map(ord, "\"'“”„’‘«»「」『』"))
+_QUOTES = "\"'“”„’‘«»「」『』"
 
 
 @functools.lru_cache(maxsize=1)
 def _unseen():
-    """Format characters, which comparisons leave out."""
-    return {c: None for c in itertools.chain(range(0x20), range(0x7F, 0x3000), range(0xFE00, 0x10000), range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) == "Cf"} | _QUOTES
+    """Format characters and quotation marks, which comparisons leave out."""
+    return re.compile("[" + _QUOTES + "".join(re.escape(chr(c)) for c in itertools.chain(range(0x7F, 0x3000), range(0xFE00, 0x10000), range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) == "Cf") + "]")
 
 
 def squash(text: str) -> str:
     """Lower case without white space, invisible characters and quotation marks."""
     if text.isascii():
         return "".join(text.lower().replace('"', "").replace("'", "").split())
-    return "".join(unicodedata.normalize("NFC", text).lower().translate(_unseen()).split())
+    return "".join(_unseen().sub("", unicodedata.normalize("NFC", text).lower()).split())
 
 
 def body_of(response: str) -> str:
@@ -132,7 +133,10 @@ def _templates() -> dict[str, list[list[str]]]:
 def is_refusal(response: str) -> bool:
     """A statement that holds all tokens of a refusal template in order, as their longest common
     subsequence. A question is none."""
-    body = body_of(response)
+    return declines(body_of(response))
+
+
+def declines(body: str) -> bool:
     if QUESTION_END.search(body) or ASKING.match(body):
         return False
     tokens = _tokens(body)
@@ -296,7 +300,7 @@ def _cased(core: str) -> list[str]:
     return [("0" if w[0].isdigit() else w.lower() if i == 0 or not w[0].isupper() else "N") for i, w in enumerate(_WORD.findall(core))]
 
 
-def skeletons(body: str, lang: str | None, common: frozenset, words: frozenset | set) -> tuple[str, str | None]:
+def skeletons(body: str, lang: str | None, common: frozenset, words) -> tuple[str, str | None]:
     """What makes a question of its kind complete, whatever it asks about; and, in Latin script, the same with
     runs of the document's own words (but for common ones and the last two) as one.
 
@@ -307,6 +311,7 @@ def skeletons(body: str, lang: str | None, common: frozenset, words: frozenset |
     if len(_LATIN.findall(core)) * 2 > len(core.replace(" ", "")) or lang is None:
         tight = _cased(core)
         tight = [t for i, t in enumerate(tight) if not (t == "N" and i and tight[i - 1] == "N")]
+        words = words()
         out: list[str] = []
         for i, t in enumerate(tight):
             k = "D" if i < len(tight) - 2 and t not in "N0" and t in words and t not in common else t
@@ -350,7 +355,7 @@ _JUDGED = pa.schema([("row_id", pa.int64()), ("query_pos", pa.int32()), ("defect
 
 def _judge(model: Languages):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "document"):
             out, left = [], []
             ids, docs = batch.column("row_id").to_pylist(), [d or "" for d in batch.column("document").to_pylist()]
             for i, queries in enumerate(batch.column("queries").to_pylist()):
@@ -360,7 +365,7 @@ def _judge(model: Languages):
                     body = "" if q is None else body_of(q)
                     if not body or not body.isascii() and not INVISIBLE.sub("", body_of(INVISIBLE.sub(" ", q))):
                         out.append((ids[i], pos, "empty", False, None, None, False))
-                    elif is_refusal(q):
+                    elif declines(body):
                         out.append((ids[i], pos, "refusal", False, None, None, False))
                     else:
                         left.append((i, pos, body))
@@ -371,7 +376,13 @@ def _judge(model: Languages):
                 own = [squash(END_MARK.sub("", b)) for _, _, b in left]
                 near = contained(own, tight, of) >= CONTAINED
                 own_languages, score = languages_of(model, docs), model.scores([b for _, _, b in left])[0]
-                words, seen = set(), -1
+                held: dict[int, set] = {}
+
+                def words_of(i, held=held):
+                    if i not in held:
+                        held[i] = set(_WORD.findall(docs[i].lower()))  # noqa: B023
+                    return held[i]
+
                 for k, (i, pos, body) in enumerate(left):
                     if near[k] and is_aligned_copy(own[k], tight[i]):
                         out.append((ids[i], pos, "copy", False, None, None, False))
@@ -385,9 +396,7 @@ def _judge(model: Languages):
                                 continue
                             best = int(np.where(mine, score[k], -np.inf).argmax())
                         lang = model.names[best]
-                    if seen != i:
-                        words, seen = set(_WORD.findall(docs[i].lower())), i
-                    strict, loose = skeletons(body, lang, model.common.get(lang, frozenset()), words)
+                    strict, loose = skeletons(body, lang, model.common.get(lang, frozenset()), functools.partial(words_of, i))
                     cut = CUT_END.search(body) is not None or not marked and name_breaks_off(body, docs[i])
                     out.append((ids[i], pos, None, marked, strict, loose, cut))
             cols = list(zip(*out)) if out else [[] for _ in _JUDGED]

@@ -567,6 +567,18 @@ def test_simhash_counts_bits():
             assert int(row[w]) == sum(1 << b for b in range(64) if 2 * int(((m >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
 
 
+def test_slices_keep_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    from brinewell.llm import batches
+
+    monkeypatch.setattr(batches, "SLICE", 10)
+    texts = ["abc", None, "x" * 30, "", "abcdefgh", "ab", None]
+    got = [b.column("t").to_pylist() for b in batches.slices([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["t"])], "t")]
+    assert sum(got, []) == texts
+    assert all(len(g) == 1 or sum(len(x or "") for x in g) <= 10 for g in got if "x" * 30 not in g)
+
+
 def test_queries_module():
     from brinewell.llm import queries
 
