@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cap, indicator, parse_date, safe_ln
+from ..functions.scalars import cap, edges, indicator, parse_date, safe_ln
 from ..operators import causal, profile, regression, reshape
 from ..runtime import bounded_rows, cut_lineage
 from ..sources.tables import table
@@ -113,7 +113,10 @@ def trimmed_outcome(s, d):
 
 
 def year_trend(s, d):
-    return rounded(panel(s, d).groupBy("year", "treated").agg(F.avg("log_m").alias("outcome_mean"), F.stddev_samp("log_m").alias("outcome_std"), F.count(F.lit(1)).alias("n")))
+    """Mean and spread by year and arm, with the normal 95 % band of the mean."""
+    t = panel(s, d).groupBy("year", "treated").agg(F.avg("log_m").alias("outcome_mean"), F.stddev_samp("log_m").alias("outcome_std"), F.count(F.lit(1)).alias("n"))
+    half = 1.959964 * F.col("outcome_std") / F.sqrt("n")
+    return rounded(t.withColumns({"low": F.col("outcome_mean") - half, "high": F.col("outcome_mean") + half}))
 
 
 def date_parts(s, d):
@@ -182,6 +185,19 @@ def bin_xy(s, d):
     return b.select("obs_id", "x_bin", "y_bin", F.concat_ws("_", F.col("x_bin").cast("string"), F.col("y_bin").cast("string")).alias("bin_region"))
 
 
+def bin_edges(s, d):
+    """Edges of the bins of both axes: 20 whole-number steps over the span, and one past its end."""
+    o = prepared(s, d).where("x is not null and y is not null")
+    ends = o.agg(*[f(c).cast("int").alias(f"{c}_{n}") for c in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    rows = s.range(1)
+    out = None
+    for c in ("x", "y"):
+        low, high = ends[f"{c}_lo"], ends[f"{c}_hi"]
+        one = rows.select(F.lit(c).alias("axis"), F.posexplode(edges(low, high, int((high - low) / 20))).alias("edge_no", "edge"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def bounding_area(s, d):
     o = prepared(s, d).where("latitude between -90 and 90 and longitude between -180 and 360")
     return rounded(o.agg(((F.max("longitude") - F.min("longitude")) * (F.max("latitude") - F.min("latitude"))).alias("area")))
@@ -218,7 +234,7 @@ def ols_cluster_se(s, d):
 
 QUERIES = {f.__name__: f for f in (
     did_cell_means, did_att_2x2, did_outcome_growth, did_growth_effect, did_dataset_blocks, did_lines, cell_melt, intervention_year, treated_year_range, quantile_bounds, trimmed_outcome, year_trend, date_parts,
-    unit_year_panel, panel_join_mean, unit_year_once, treatment_matrix, year_labels, treated_after, post_change, pre_post_units, bin_xy, bounding_area, ols_univariate, ols_interaction, ols_saturated_cells, ols_fixed_effects, ols_cluster_se,
+    unit_year_panel, panel_join_mean, unit_year_once, treatment_matrix, year_labels, treated_after, post_change, pre_post_units, bin_xy, bin_edges, bounding_area, ols_univariate, ols_interaction, ols_saturated_cells, ols_fixed_effects, ols_cluster_se,
 )}
 
 _CELLS = "SELECT treated, post, avg(log_m) AS m FROM panel GROUP BY ALL"
@@ -240,7 +256,7 @@ ORACLES = {
     "treated_year_range": PANEL + "SELECT treated * post AS w, min(year) AS first_year, max(year) AS last_year FROM panel GROUP BY 1",
     "quantile_bounds": PANEL + "SELECT round(low_value, 6) AS low_value, low_q, round(high_value, 6) AS high_value, high_q FROM bounds",
     "trimmed_outcome": PANEL + "SELECT obs_id, round(log_m, 6) AS log_m FROM trimmed",
-    "year_trend": PANEL + "SELECT year, treated, round(avg(log_m), 6) AS outcome_mean, round(stddev_samp(log_m), 6) AS outcome_std, count(*) AS n FROM panel GROUP BY year, treated",
+    "year_trend": PANEL + "SELECT year, treated, round(avg(log_m), 6) AS outcome_mean, round(stddev_samp(log_m), 6) AS outcome_std, count(*) AS n, round(avg(log_m) - 1.959964 * stddev_samp(log_m) / sqrt(count(*)), 6) AS low, round(avg(log_m) + 1.959964 * stddev_samp(log_m) / sqrt(count(*)), 6) AS high FROM panel GROUP BY year, treated",
     "date_parts": PREP + "SELECT obs_id, year, month, day FROM obs",
     "unit_year_panel": PANEL + ", per AS (SELECT regions, year, max(treated * post) AS w, avg(log_m) AS outcome FROM panel WHERE regions IS NOT NULL GROUP BY ALL) SELECT regions, year, w, round(outcome, 6) AS outcome, max(w) OVER (PARTITION BY regions) AS ever_treated FROM per",
     "panel_join_mean": PANEL + "SELECT obs_id, regions, year, round(log_m, 6) AS log_m, round(avg(log_m) OVER (PARTITION BY regions, year), 6) AS log_m_mean FROM panel WHERE regions IS NOT NULL",
@@ -256,6 +272,7 @@ SELECT unit, position, year, w FROM m JOIN p USING (unit)""",
 f AS (SELECT obs_id, x, y, xl, yl, trunc((xh - xl) / 20) AS xs, trunc((yh - yl) / 20) AS ys FROM o, e),
 g AS (SELECT obs_id, CASE WHEN x = xl THEN 0 WHEN x > xl AND x <= xl + 21 * xs THEN ceil((x - xl) / xs) - 1 END::INT AS x_bin, CASE WHEN y = yl THEN 0 WHEN y > yl AND y <= yl + 21 * ys THEN ceil((y - yl) / ys) - 1 END::INT AS y_bin FROM f)
 SELECT obs_id, x_bin, y_bin, concat_ws('_', x_bin, y_bin) AS bin_region FROM g""",
+    "bin_edges": PREP + ", o AS (SELECT x, y FROM obs WHERE x IS NOT NULL AND y IS NOT NULL), e AS (SELECT 'x' AS axis, trunc(min(x))::INT AS lo, trunc(max(x))::INT AS hi FROM o UNION ALL SELECT 'y', trunc(min(y))::INT, trunc(max(y))::INT FROM o), s AS (SELECT axis, lo, hi, trunc((hi - lo) / 20)::INT AS step FROM e), g AS (SELECT axis, lo, step, unnest(generate_series(0, (hi + step - lo) // step)) AS k FROM s) SELECT axis, k::INT AS edge_no, (lo + k * step)::INT AS edge FROM g",
     "bounding_area": PREP + "SELECT round((max(longitude) - min(longitude)) * (max(latitude) - min(latitude)), 6) AS area FROM obs WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 360",
     "ols_univariate": PANEL + "SELECT 'Intercept' AS term, round(regr_intercept(log_m, year), 5) AS estimate FROM panel UNION ALL SELECT 'year', round(regr_slope(log_m, year), 5) FROM panel",
     "ols_interaction": PANEL + f", w AS ({_WIDE}) SELECT term, round(v, 5) AS estimate FROM (SELECT 'Intercept' AS term, y00 AS v FROM w UNION ALL SELECT 'treated', y10 - y00 FROM w UNION ALL SELECT 'post', y01 - y00 FROM w UNION ALL SELECT 'treated:post', y11 - y10 - y01 + y00 FROM w)",
