@@ -510,7 +510,7 @@ def test_parts_of_a_page():
 def test_long_slots():
     long = "sampling station name " * 6
     name = "stationname" * 6
-    slots = ["{{ name | default(" + long + ") | upper }}", "{% for x in " + long + "%}", "<%= " + long + "%>", "[[" + long + "]]", "@@" + name + "@@", "%" + name + "%", "<" + name + ">", "&lt;" + name + "&gt;", "[insert " + long + "]", "[" + long + "입력]"]
+    slots = ["{{ name | default(" + long + ") | upper }}", "{% for x in " + long + "%}", "<%= " + long + "%>", "[[" + long + "]]", "@@" + name + "@@", "%" + name + "%", "<" + name + ">", "&lt;" + name + "&gt;", "[insert " + long + "]", "[" + long + "입력]", "(여기에 " + long + " 삽입)", "（在此" + long + "填写）", "Blindtext " + long + "bitte ersetzen"]
     assert [x for x in slots if not residue.left_in("Here is " + x + " at last.")] == []
 
 
