@@ -283,7 +283,7 @@ def _shifts(ranked: DataFrame, penalty: float, errors: float, widest: float, blo
     block = F.floor(F.col("_rank") / block_rows)
     # noise: median absolute step between neighbours of a block
     steps = ranked.withColumn("_d", F.abs(F.col("_x") - F.lag("_x").over(Window.partitionBy("source", block).orderBy("_rank"))))
-    scales = steps.groupBy("source").agg((F.percentile_approx("_d", 0.5, 1000) * (1.4826 / math.sqrt(2))).alias("scale")).select(F.col("source").alias("_ss"), F.when(F.col("scale") > 1e-9, F.col("scale")).otherwise(1.0).alias("scale"))
+    scales = steps.groupBy("source").agg((F.percentile_approx("_d", 0.5, 1000) * (1.4826 / math.sqrt(2))).alias("scale"), F.count(F.lit(1)).alias("_total")).select(F.col("source").alias("_ss"), "_total", F.when(F.col("scale") > 1e-9, F.col("scale")).otherwise(1.0).alias("scale"))
     scaled = ranked.join(scales, F.col("source") == F.col("_ss")).drop("_ss")
 
     def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -294,7 +294,9 @@ def _shifts(ranked: DataFrame, penalty: float, errors: float, widest: float, blo
 
     found = None
     for shift in (0, half):
-        one = scaled.withColumn("_b", F.floor((F.col("_rank") + shift) / block_rows)).groupBy("source", "_b").applyInPandas(cuts, "source string, at long")
+        # a history of one block has no edge to look beyond
+        own = scaled.where(F.col("_total") > block_rows) if shift else scaled
+        one = own.withColumn("_b", F.floor((F.col("_rank") + shift) / block_rows)).groupBy("source", "_b").applyInPandas(cuts, "source string, at long")
         found = one if found is None else found.unionByName(one)
     # edges of half blocks are candidates too, so that a piece lies in one half block
     candidates = spill_table(found.withColumn("_h", F.floor(F.col("at") / half)).groupBy("source", "_h").agg(F.sort_array(F.collect_set("at")).alias("_c")), "cuts").select(F.col("source").alias("_cs"), F.col("_h").alias("_ch"), "_c")
