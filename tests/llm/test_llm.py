@@ -404,6 +404,18 @@ def test_pairs_with_edits_spread_evenly_or_at_random(spark):
     assert got[0] == got[1] == got[2] and want <= got[0]
 
 
+def test_groups_of_bounded_bytes_find_the_same_pairs(spark, monkeypatch):
+    texts = [x for _, t, c in articles(30, 20) if c for x in [(t or "") + c]]
+    whole = pairs_found(spark, texts)
+    held = []
+    packed = nearcopies._packed
+    monkeypatch.setattr(nearcopies, "_packed", lambda table: held.append(table.select(["cols", "bits"]).nbytes) or packed(table))
+    monkeypatch.setattr(nearcopies, "HELD_BYTES", 9_000)
+    assert pairs_found(spark, texts) == whole and len(whole) > 200
+    # no task holds all documents
+    assert len(held) > 4 and max(held) < sum(held) / 2
+
+
 # -- tokens ---------------------------------------------------------------------------------------
 
 TEXTS = [None, "", " ", "Hello  world's 123abc\n\n", "가나다 漢字 ไทย हिन्दी 😀<|endoftext|>", LONG, "a" * 30_000, ("x1" * 9000) + " \n\t " * 50, "é" * 9000 + " it's  "]
