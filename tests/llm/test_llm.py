@@ -543,6 +543,19 @@ def test_residue_spreads_through_messages(spark):
     assert residue.residue(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_plans_do_not_double_with_the_rounds(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 7))
+    chain = [[word() for _ in range(24)]]
+    for k in range(6):
+        chain.append([word() if i == 3 * k + 2 else w for i, w in enumerate(chain[-1])])
+    rows = [(0, f"Bad gateway (502). {' '.join(chain[0])}.")] + [(k, f"{' '.join(x)}.") for k, x in enumerate(chain) if k]
+    scans, linked = [], residue.linked_kinds
+    monkeypatch.setattr(residue, "linked_kinds", lambda f, kinds, t: scans.append(kinds._jdf.queryExecution().logical().toString().count("parquet")) or linked(f, kinds, t))
+    assert sorted(x[0] for x in residue.residue(docs(spark, rows)).collect()) == list(range(7))
+    assert len(scans) > 5 and max(scans) < 8 * len(scans)
+
+
 def test_linked_messages_against_brute_force(spark):
     r = np.random.default_rng(11)
     words = ["".join(r.choice(list("abcdefghijklmnop"), r.integers(3, 9))) for _ in range(600)]
